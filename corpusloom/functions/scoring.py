@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.stemming import stem
-from corpusloom.functions.text import WS, strip
+from corpusloom.functions.text import WS
 
-# The published mteval-13a tokenisation, as (pattern, replacement).
-MTEVAL_13A = [
+# The published mteval-13a tokenisation, literals first, then patterns.
+# Its symbol class also names the blank, which splitting on blanks makes idle.
+MTEVAL_13A_LITERALS = [
     ("<skipped>", ""),
     ("-\n", ""),
     ("\n", " "),
@@ -19,63 +22,89 @@ MTEVAL_13A = [
     ("&amp;", "&"),
     ("&lt;", "<"),
     ("&gt;", ">"),
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+]
+MTEVAL_13A_PATTERNS = [
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
 ]
 
 
-def _words(text: Column, gap: str) -> Column:
-    """Non-empty pieces between gaps; an empty text has none."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, gap))
-
-
 def bleu_tokens(text: Column) -> Column:
     spaced = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
-    for pattern, replacement in MTEVAL_13A:
+    for literal, replacement in MTEVAL_13A_LITERALS:
+        spaced = F.replace(spaced, F.lit(literal), F.lit(replacement))
+    for pattern, replacement in MTEVAL_13A_PATTERNS:
         spaced = F.regexp_replace(spaced, pattern, replacement)
-    return _words(strip(spaced), rf"{WS}+")
+    return F.array_remove(F.split(spaced, rf"{WS}+"), "")
 
 
 def rouge_tokens(text: Column) -> Column:
     """Lower case, letters a-z and digits only."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
-    return _words(plain, " ")
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return F.array_remove(F.split(lowered, "[^a-z0-9]+"), "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(tokens: pd.Series) -> pd.Series:
-    """Stem the tokens longer than three characters."""
-    return tokens.map(lambda row: [stem(t) if len(t) > 3 else t for t in row])
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All elements of a list column in a row, and where each list starts and ends."""
+    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    return pc.list_flatten(lists), np.concatenate(([0], ends)).astype("int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def common_subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two token arrays.
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(tokens: pa.Array) -> pa.Array:
+    """Stem the tokens longer than three characters, each distinct token of a batch once."""
+    flat, bounds = _flat(tokens)
+    coded = flat.dictionary_encode()
+    stems = [stem(t) if len(t) > 3 else t for t in coded.dictionary.to_pylist()]
+    values = pa.array(stems, type=pa.string()).take(coded.indices)
+    return pa.ListArray.from_arrays(pa.array(bounds), values)
 
-    Bit-parallel: one machine-word row of the table per 64 tokens, so the cost
-    is len(left) * len(right) / 64 word operations and memory is one row.
-    """
 
-    def length(a: list[str], b: list[str]) -> int:
-        where: dict[str, int] = {}
-        for i, token in enumerate(a):
-            where[token] = where.get(token, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        row = full
-        for token in b:
-            hit = row & where.get(token, 0)
+def _subsequence_length(left: list[int], right: list[int]) -> int:
+    """Longest common subsequence, one bit per element of ``left``.
+
+    A row of the classic table is one big integer, so a step of ``right`` costs
+    len(left) / 64 word operations, and one row is all the memory used.
+    """
+    where: dict[int, int] = {}
+    for i, token in enumerate(left):
+        where[token] = where.get(token, 0) | (1 << i)
+    full = (1 << len(left)) - 1
+    row = full
+    for token in right:
+        hit = row & where.get(token, 0)
+        if hit:
             row = ((row + hit) | (row - hit)) & full
-        return len(a) - row.bit_count()
+    return len(left) - row.bit_count()
+
+
+@F.arrow_udf(T.IntegerType())
+def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two token arrays."""
+    left_flat, left_bounds = _flat(left)
+    right_flat, right_bounds = _flat(right)
+    codes = pa.concat_arrays([left_flat, right_flat]).dictionary_encode().indices.to_numpy()
+    mine, theirs = codes[: len(left_flat)].tolist(), codes[len(left_flat):].tolist()
+    lengths = [
+        _subsequence_length(
+            mine[left_bounds[i]:left_bounds[i + 1]], theirs[right_bounds[i]:right_bounds[i + 1]]
+        )
+        for i in range(len(left))
+    ]
+    return pa.array(lengths, type=pa.int32())
+
 
-    return pd.Series([length(list(a), list(b)) for a, b in zip(left, right)], dtype="int32")
+def token_keys(tokens: Column) -> Column:
+    """Array of 64-bit keys, one per token."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """Array of 64-bit keys, one per n-gram; equal n-grams have equal keys."""
+def ngrams(keys: Column, n: int) -> Column:
+    """Array of 64-bit keys, one per n-gram of the token keys."""
     if n == 1:
-        return F.transform(tokens, lambda t: F.xxhash64(t))
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, n)))
+        return keys
+    starts = F.when(F.size(keys) >= n, F.sequence(F.lit(0), F.size(keys) - n))
+    grams = F.transform(starts, lambda i: F.xxhash64(*[keys[i + j] for j in range(n)]))
     return F.coalesce(grams, F.array().cast("array<bigint>"))

@@ -19,6 +19,7 @@ from corpusloom.functions.scoring import (
     ngrams,
     rouge_tokens,
     stemmed,
+    token_keys,
 )
 from corpusloom.functions.text import strip
 
@@ -45,39 +46,43 @@ def extract_pairs(samples: DataFrame, predictions: DataFrame, id_col: str) -> Da
     return wanted.join(predictions.select(id_col, "prediction"), id_col)
 
 
-def _gram_rows(tokenised: DataFrame, keys: list[str], kinds: dict[str, tuple[str, str, Sequence[int]]]) -> DataFrame:
-    """Long form: one row per n-gram occurrence with its side as two counters."""
-    packs = []
-    for kind, (left, right, orders) in kinds.items():
+# kind of score -> (column of prediction keys, column of reference keys, n-gram orders)
+Kinds = dict[str, tuple[str, str, Sequence[int]]]
+
+
+def _gram_rows(tokenised: DataFrame, keys: list[str], kinds: Kinds) -> DataFrame:
+    """Long form: one row per n-gram occurrence, with its side as two counters.
+
+    ``slot`` numbers the (kind, order) pairs. The first slot of a kind also
+    yields a row without a gram for an empty text, so no pair is lost.
+    """
+    packs, slot = [], 0
+    for left, right, orders in kinds.values():
         for n in orders:
             for column, side in ((left, 1), (right, 0)):
                 packs.append(
                     F.struct(
-                        F.lit(kind).alias("kind"),
-                        F.lit(n).alias("n"),
-                        F.lit(side).alias("mine"),
-                        ngrams(F.col(column), n).alias("grams"),
+                        F.lit(slot).alias("slot"), F.lit(side).alias("mine"), ngrams(F.col(column), n).alias("grams")
                     )
                 )
+            slot += 1
     packed = tokenised.select(*keys, F.inline(F.array(*packs)))
     return packed.select(
-        *keys, "kind", "n", "mine", (1 - F.col("mine")).alias("theirs"), F.explode_outer("grams").alias("gram")
-    )
+        *keys, "slot", "mine", (1 - F.col("mine")).alias("theirs"), F.explode_outer("grams").alias("gram")
+    ).where(F.col("gram").isNotNull() | (F.col("slot") == 0))
 
 
-def _overlaps(tokenised: DataFrame, keys: list[str], kinds: dict) -> DataFrame:
-    """One row per pair: for every kind and order matched, mine and theirs totals."""
+def _overlaps(tokenised: DataFrame, keys: list[str], kinds: Kinds) -> DataFrame:
+    """One row per pair: for every kind and order the matched, mine and theirs totals."""
     counted = (
         _gram_rows(tokenised, keys, kinds)
-        .groupBy(*keys, "kind", "n", "gram")
+        .groupBy(*keys, "slot", "gram")
         .agg(F.sum("mine").alias("mine"), F.sum("theirs").alias("theirs"))
-        .where(F.col("gram").isNotNull() | (F.col("n") == 1))
-        .withColumn("present", F.col("gram").isNotNull().cast("int"))
     )
-    sums = []
+    sums, slot = [], 0
     for kind, (_, _, orders) in kinds.items():
         for n in orders:
-            here = (F.col("kind") == kind) & (F.col("n") == n) & (F.col("present") == 1)
+            here = (F.col("slot") == slot) & F.col("gram").isNotNull()
             for name, value in (
                 ("match", F.least("mine", "theirs")),
                 ("mine", F.col("mine")),
@@ -86,6 +91,7 @@ def _overlaps(tokenised: DataFrame, keys: list[str], kinds: dict) -> DataFrame:
                 sums.append(
                     F.coalesce(F.sum(F.when(here, value)), F.lit(0)).alias(f"{kind}{n}_{name}")
                 )
+            slot += 1
     return counted.groupBy(*keys).agg(*sums)
 
 
@@ -94,6 +100,16 @@ def _f_measure(match: Column, mine: Column, theirs: Column) -> Column:
     return F.when(match > 0, 2.0 * match / (mine + theirs)).otherwise(F.lit(0.0))
 
 
+def _spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash the pairs over the session's shuffle partitions, kept as many as they are.
+
+    A pair grows about thirtyfold when its n-grams are exploded, so partitions
+    must not be merged by the small size the texts have in the shuffle.
+    """
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(partitions, *keys)
+
+
 def pair_scores(
     pairs: DataFrame,
     id_col: str,
@@ -107,12 +123,12 @@ def pair_scores(
 ) -> DataFrame:
     """One row per pair: BLEU counts, ROUGE F-measures and the exact-match flag."""
     keys = [*by, id_col]
-    placed = pairs.select(*keys, prediction, reference).repartition(*keys)
+    placed = _spread(pairs.select(*keys, prediction, reference), keys)
     columns = {"exact": (strip(F.col(prediction)) == strip(F.col(reference))).cast("int")}
-    kinds: dict[str, tuple[str, str, Sequence[int]]] = {}
+    kinds: Kinds = {}
     if bleu:
-        columns["bleu_mine"] = bleu_tokens(F.col(prediction))
-        columns["bleu_theirs"] = bleu_tokens(F.col(reference))
+        columns["bleu_mine"] = token_keys(bleu_tokens(F.col(prediction)))
+        columns["bleu_theirs"] = token_keys(bleu_tokens(F.col(reference)))
         kinds["bleu"] = ("bleu_mine", "bleu_theirs", BLEU_ORDERS)
     if rouge or rouge_l:
         mine, theirs = rouge_tokens(F.col(prediction)), rouge_tokens(F.col(reference))
@@ -124,6 +140,10 @@ def pair_scores(
     if rouge_l:
         tokenised = tokenised.withColumn("lcs", common_subsequence("rouge_mine", "rouge_theirs"))
         carried.append("lcs")
+    if rouge or rouge_l:
+        tokenised = tokenised.withColumns(
+            {side: token_keys(F.col(side)) for side in ("rouge_mine", "rouge_theirs")}
+        )
     rows = _overlaps(tokenised, carried, kinds)
     out: list[Column | str] = [*keys, "exact"]
     if bleu:

@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from corpusloom.plans import (  # noqa: F401  (importing registers them)
+    catalog_queries,
+    evaluation_queries,
     profile_queries,
     source_queries,
     text_queries,

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -25,8 +27,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the data set; ``spread`` for queries with costly work per row."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if spread:
+        df = spread_small(df)
     # Zone-less times are UTC; event-time operators need a zoned type.
     for column, dtype in df.dtypes:
         if dtype == "timestamp_ntz":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.catalog import head_sample, preview
-from corpusloom.plans.registry import query, rounded, table
+from corpusloom.plans.registry import query, table
 from corpusloom.session import scratch_path
 from corpusloom.sources.readers import file_inventory, load
 from corpusloom.sources.writers import save_jsonl

@@ -16,11 +16,11 @@ from corpusloom.plans.registry import SQL_WS, long, query, sql_clean, table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return table(spark, sf_dir, "documents", spread=True)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return table(spark, sf_dir, "pages", spread=True)
 
 
 # --- cleaning ---------------------------------------------------------------

@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+LOCAL_SCRATCH_CONF = "corpusloom.scratch"
 
 
 def build_session(app_name: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,15 +45,27 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="corpusloom-")
-    spark.conf.set("corpusloom.scratch", root) if _scratch_unset(spark) else None
-    return spark.conf.get("corpusloom.scratch")
-
-
-def _scratch_unset(spark: SparkSession) -> bool:
-    return spark.conf.get("corpusloom.scratch", None) is None
+    if spark.conf.get(LOCAL_SCRATCH_CONF, None) is None:
+        spark.conf.set(LOCAL_SCRATCH_CONF, tempfile.mkdtemp(prefix="corpusloom-"))
+    return spark.conf.get(LOCAL_SCRATCH_CONF)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path under the scratch folder that no earlier run has used."""
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input as many partitions as there are cores before costly row work.
+
+    A file of one row group is read by one task however many cores are idle.
+    An input of at least one full split per core is left as it is, so large
+    tables are never shuffled for this; the size is the planner's file estimate.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < split * cores else df
