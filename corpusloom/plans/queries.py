@@ -3,6 +3,7 @@
 from corpusloom.plans import (  # noqa: F401  (importing registers them)
     catalog_queries,
     evaluation_queries,
+    event_queries,
     profile_queries,
     source_queries,
     text_queries,
