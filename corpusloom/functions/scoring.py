@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,20 +48,66 @@ def rouge_tokens(text: Column) -> Column:
     return F.array_remove(F.split(lowered, "[^a-z0-9]+"), "")
 
 
-def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All elements of a list column in a row, and where each list starts and ends."""
-    ends = np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
-    return pc.list_flatten(lists), np.concatenate(([0], ends)).astype("int32")
+class _TokenColumn:
+    """A batch of token lists as one run of integer codes with row bounds."""
+
+    def __init__(self, codes: np.ndarray, bounds: np.ndarray):
+        self.codes, self.bounds = codes, bounds
+
+    def rows(self, start: int, stop: int) -> _TokenColumn:
+        low, high = self.bounds[start], self.bounds[stop]
+        return _TokenColumn(self.codes[low:high], self.bounds[start:stop + 1] - low)
+
+
+# Tokens of both sides handled at a time, which bounds the memory of a batch.
+_BLOCK_TOKENS = 2_000_000
+
 
+def _coded(mine: pa.Array, theirs: pa.Array, stemming: bool) -> tuple[_TokenColumn, _TokenColumn]:
+    """Both sides with shared token codes; each distinct token is stemmed once."""
+    flat = [pc.list_flatten(side) for side in (mine, theirs)]
+    coded = pa.concat_arrays(flat).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype("int64")
+    if stemming:
+        stems = [stem(t) if len(t) > 3 else t for t in coded.dictionary.to_pylist()]
+        merged = pa.array(stems, type=pa.string()).dictionary_encode().indices
+        codes = merged.to_numpy(zero_copy_only=False).astype("int64")[codes]
+    sides, start = [], 0
+    for side, tokens in zip((mine, theirs), flat):
+        lengths = pc.list_value_length(side).fill_null(0).to_numpy(zero_copy_only=False)
+        bounds = np.concatenate(([0], np.cumsum(lengths))).astype("int64")
+        sides.append(_TokenColumn(codes[start:start + len(tokens)], bounds))
+        start += len(tokens)
+    return sides[0], sides[1]
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def stemmed(tokens: pa.Array) -> pa.Array:
-    """Stem the tokens longer than three characters, each distinct token of a batch once."""
-    flat, bounds = _flat(tokens)
-    coded = flat.dictionary_encode()
-    stems = [stem(t) if len(t) > 3 else t for t in coded.dictionary.to_pylist()]
-    values = pa.array(stems, type=pa.string()).take(coded.indices)
-    return pa.ListArray.from_arrays(pa.array(bounds), values)
+
+def _shared_grams(mine: _TokenColumn, theirs: _TokenColumn, orders: Sequence[int]) -> list[np.ndarray]:
+    """Per order and row, the size of the intersection of the two multisets of n-grams.
+
+    An n-gram is numbered by the number of its first n - 1 tokens and its last
+    token, starting from the row, so equal numbers mean equal grams of one row.
+    """
+    rows = len(mine.bounds) - 1
+    codes = np.concatenate((mine.codes, theirs.codes))
+    row = np.concatenate([np.repeat(np.arange(rows), np.diff(side.bounds)) for side in (mine, theirs)])
+    end = np.concatenate((mine.bounds[1:], theirs.bounds[1:] + len(mine.codes)))
+    end = end[row + np.where(np.arange(len(codes)) < len(mine.codes), 0, rows)]
+    words = int(codes.max()) + 1 if len(codes) else 1
+    number, place = row, np.arange(len(codes))
+    found = []
+    for n in range(1, max(orders, default=0) + 1):
+        keep = place + n <= end[place]
+        place, number = place[keep], number[keep]
+        grams, number = np.unique(number * words + codes[place + n - 1], return_inverse=True)
+        if n in orders:
+            is_mine = place < len(mine.codes)
+            left = np.bincount(number[is_mine], minlength=len(grams))
+            right = np.bincount(number[~is_mine], minlength=len(grams))
+            owner = np.zeros(len(grams), dtype="int64")
+            owner[number] = row[place]
+            shared = np.bincount(owner, weights=np.minimum(left, right), minlength=rows)
+            found.append(shared.astype("int64"))
+    return found
 
 
 def _subsequence_length(left: list[int], right: list[int]) -> int:
@@ -80,31 +128,53 @@ def _subsequence_length(left: list[int], right: list[int]) -> int:
     return len(left) - row.bit_count()
 
 
-@F.arrow_udf(T.IntegerType())
-def common_subsequence(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Length of the longest common subsequence of two token arrays."""
-    left_flat, left_bounds = _flat(left)
-    right_flat, right_bounds = _flat(right)
-    codes = pa.concat_arrays([left_flat, right_flat]).dictionary_encode().indices.to_numpy()
-    mine, theirs = codes[: len(left_flat)].tolist(), codes[len(left_flat):].tolist()
+def _subsequences(mine: _TokenColumn, theirs: _TokenColumn) -> np.ndarray:
+    left, right = mine.codes.tolist(), theirs.codes.tolist()
+    a, b = mine.bounds.tolist(), theirs.bounds.tolist()
     lengths = [
-        _subsequence_length(
-            mine[left_bounds[i]:left_bounds[i + 1]], theirs[right_bounds[i]:right_bounds[i + 1]]
-        )
-        for i in range(len(left))
+        _subsequence_length(left[a[i]:a[i + 1]], right[b[i]:b[i + 1]]) for i in range(len(a) - 1)
     ]
-    return pa.array(lengths, type=pa.int32())
+    return np.array(lengths, dtype="int64")
 
 
-def token_keys(tokens: Column) -> Column:
-    """Array of 64-bit keys, one per token."""
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def _blocks(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``_BLOCK_TOKENS`` tokens, or of one row if that row is longer."""
+    start = 0
+    while start < len(bounds) - 1:
+        stop = int(np.searchsorted(bounds, bounds[start] + _BLOCK_TOKENS, side="right")) - 1
+        stop = max(stop, start + 1)
+        yield start, stop
+        start = stop
 
 
-def ngrams(keys: Column, n: int) -> Column:
-    """Array of 64-bit keys, one per n-gram of the token keys."""
-    if n == 1:
-        return keys
-    starts = F.when(F.size(keys) >= n, F.sequence(F.lit(0), F.size(keys) - n))
-    grams = F.transform(starts, lambda i: F.xxhash64(*[keys[i + j] for j in range(n)]))
-    return F.coalesce(grams, F.array().cast("array<bigint>"))
+def overlap_counts(
+    mine: Column, theirs: Column, orders: Sequence[int], stemming: bool = False, subsequence: bool = False
+) -> Column:
+    """Array of counts per pair of token lists: shared n-grams for each order, then the
+    length of the longest common subsequence if asked.
+
+    The counts are a matter of one row, so they are taken where the row is: no
+    n-gram is shuffled or even becomes a row. A batch is one vectorised pass.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def count(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, b = _coded(left, right, stemming)
+        blocks = []
+        for start, stop in _blocks(a.bounds + b.bounds):
+            x, y = a.rows(start, stop), b.rows(start, stop)
+            columns = _shared_grams(x, y, orders)
+            if subsequence:
+                columns.append(_subsequences(x, y))
+            blocks.append(np.stack(columns, axis=1))
+        width = len(orders) + int(subsequence)
+        table = np.concatenate(blocks) if blocks else np.zeros((0, width), dtype="int64")
+        offsets = np.arange(0, (len(table) + 1) * width, width, dtype="int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
+
+    return count(mine, theirs)
+
+
+def gram_total(tokens: Column, n: int) -> Column:
+    """Number of n-grams of a token list."""
+    return F.greatest(F.size(tokens) - (n - 1), F.lit(0)).cast("bigint")

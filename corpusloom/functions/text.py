@@ -19,17 +19,22 @@ SPACE_POINTS = [
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 ]
 WHITESPACE_CHARS = "".join(map(chr, SPACE_POINTS))
-_WS_NOT_SPACE = "".join(rf"\x{{{p:X}}}" for p in SPACE_POINTS if p != 0x20)
+
+# In patterns, a class beyond ASCII is cut with ``[\x80-...]`` first, so that the
+# usual character is ruled out by one comparison instead of one per range.
+_BEYOND_ASCII = r"\x{80}-\x{10FFFF}"
+_WIDE_SPACES = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS_NOT_SPACE = rf"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F[{_BEYOND_ASCII}&&[{_WIDE_SPACES}]]"
 WS = rf"[ {_WS_NOT_SPACE}]"
-NOT_WS = rf"[^ {_WS_NOT_SPACE}]"
+NOT_WS = rf"[^ \x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F{_WIDE_SPACES}]"
 
 # Runs that are not already one plain space; single spaces need no rewrite.
 _WS_RUN = rf"[{_WS_NOT_SPACE}]{WS}*| {WS}+"
 
 # Control characters removed by cleaning (with DEL) and those
 # reported as encoding issues (without DEL).
-CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-ENCODING_ISSUE_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+CONTROL_CHARS = r"[\x00-\x1F\x7F&&[^\x09\x0A\x0D]]"
+ENCODING_ISSUE_CHARS = r"[\x00-\x1F&&[^\x09\x0A\x0D]]"
 
 # Python's word character is any letter, any number or the underscore.
 _W = r"[\p{L}\p{N}_]"
@@ -50,7 +55,11 @@ NFKC_STABLE = [
     (0x20A0, 0x20A7), (0x20A9, 0x20C0), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA),
     (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
 ]
-_NFKC_UNSURE = "[^" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in NFKC_STABLE) + "]"
+_NFKC_UNSURE = (
+    rf"[{_BEYOND_ASCII}&&[^"
+    + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in NFKC_STABLE)
+    + "]]"
+)
 _REPLACEMENT_CHARACTER = chr(0xFFFD)
 
 

@@ -1,9 +1,9 @@
 """Scoring predictions against references.
 
-BLEU and ROUGE-N rest on clipped n-gram counts. The pair table is shuffled
-once, by pair id; the n-grams are exploded and grouped behind that shuffle, so
-they never cross the network, and the grouping keys are fixed-width hashes.
-A corpus score is then one row of sums.
+BLEU and ROUGE rest on counts that concern one pair at a time. Tokens are made
+in the JVM, the counts in one vectorised Arrow pass per batch, and a corpus
+score is a sum over rows: the pair table itself is never shuffled, and what is
+sent to the final aggregate is one row of sums per task and group.
 """
 
 from __future__ import annotations
@@ -13,14 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scoring import (
-    bleu_tokens,
-    common_subsequence,
-    ngrams,
-    rouge_tokens,
-    stemmed,
-    token_keys,
-)
+from corpusloom.functions.scoring import bleu_tokens, gram_total, overlap_counts, rouge_tokens
 from corpusloom.functions.text import strip
 
 BLEU_ORDERS = (1, 2, 3, 4)
@@ -46,118 +39,51 @@ def extract_pairs(samples: DataFrame, predictions: DataFrame, id_col: str) -> Da
     return wanted.join(predictions.select(id_col, "prediction"), id_col)
 
 
-# kind of score -> (column of prediction keys, column of reference keys, n-gram orders)
-Kinds = dict[str, tuple[str, str, Sequence[int]]]
-
-
-def _gram_rows(tokenised: DataFrame, keys: list[str], kinds: Kinds) -> DataFrame:
-    """Long form: one row per n-gram occurrence, with its side as two counters.
-
-    ``slot`` numbers the (kind, order) pairs. The first slot of a kind also
-    yields a row without a gram for an empty text, so no pair is lost.
-    """
-    packs, slot = [], 0
-    for left, right, orders in kinds.values():
-        for n in orders:
-            for column, side in ((left, 1), (right, 0)):
-                packs.append(
-                    F.struct(
-                        F.lit(slot).alias("slot"), F.lit(side).alias("mine"), ngrams(F.col(column), n).alias("grams")
-                    )
-                )
-            slot += 1
-    packed = tokenised.select(*keys, F.inline(F.array(*packs)))
-    return packed.select(
-        *keys, "slot", "mine", (1 - F.col("mine")).alias("theirs"), F.explode_outer("grams").alias("gram")
-    ).where(F.col("gram").isNotNull() | (F.col("slot") == 0))
-
-
-def _overlaps(tokenised: DataFrame, keys: list[str], kinds: Kinds) -> DataFrame:
-    """One row per pair: for every kind and order the matched, mine and theirs totals."""
-    counted = (
-        _gram_rows(tokenised, keys, kinds)
-        .groupBy(*keys, "slot", "gram")
-        .agg(F.sum("mine").alias("mine"), F.sum("theirs").alias("theirs"))
-    )
-    sums, slot = [], 0
-    for kind, (_, _, orders) in kinds.items():
-        for n in orders:
-            here = (F.col("slot") == slot) & F.col("gram").isNotNull()
-            for name, value in (
-                ("match", F.least("mine", "theirs")),
-                ("mine", F.col("mine")),
-                ("theirs", F.col("theirs")),
-            ):
-                sums.append(
-                    F.coalesce(F.sum(F.when(here, value)), F.lit(0)).alias(f"{kind}{n}_{name}")
-                )
-            slot += 1
-    return counted.groupBy(*keys).agg(*sums)
-
-
 def _f_measure(match: Column, mine: Column, theirs: Column) -> Column:
     """Harmonic mean of match/mine and match/theirs; 0 where nothing matches."""
     return F.when(match > 0, 2.0 * match / (mine + theirs)).otherwise(F.lit(0.0))
 
 
-def _spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash the pairs over the session's shuffle partitions, kept as many as they are.
-
-    A pair grows about thirtyfold when its n-grams are exploded, so partitions
-    must not be merged by the small size the texts have in the shuffle.
-    """
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(partitions, *keys)
-
-
 def pair_scores(
     pairs: DataFrame,
-    id_col: str,
     prediction: str = "prediction",
     reference: str = "reference",
-    by: Sequence[str] = (),
+    keep: Sequence[str] = (),
     stemming: bool = True,
     bleu: bool = True,
     rouge: bool = True,
     rouge_l: bool = True,
 ) -> DataFrame:
-    """One row per pair: BLEU counts, ROUGE F-measures and the exact-match flag."""
-    keys = [*by, id_col]
-    placed = _spread(pairs.select(*keys, prediction, reference), keys)
-    columns = {"exact": (strip(F.col(prediction)) == strip(F.col(reference))).cast("int")}
-    kinds: Kinds = {}
+    """One row per pair: BLEU counts, ROUGE F-measures and the exact-match flag.
+
+    ``keep`` names the columns carried along (ids, model).
+    """
+    mine, theirs = F.col(prediction), F.col(reference)
+    tokens: dict[str, Column] = {"exact": (strip(mine) == strip(theirs)).cast("int")}
     if bleu:
-        columns["bleu_mine"] = token_keys(bleu_tokens(F.col(prediction)))
-        columns["bleu_theirs"] = token_keys(bleu_tokens(F.col(reference)))
-        kinds["bleu"] = ("bleu_mine", "bleu_theirs", BLEU_ORDERS)
+        tokens |= {"bleu_mine": bleu_tokens(mine), "bleu_theirs": bleu_tokens(theirs)}
     if rouge or rouge_l:
-        mine, theirs = rouge_tokens(F.col(prediction)), rouge_tokens(F.col(reference))
-        columns["rouge_mine"] = stemmed(mine) if stemming else mine
-        columns["rouge_theirs"] = stemmed(theirs) if stemming else theirs
-        kinds["rouge"] = ("rouge_mine", "rouge_theirs", ROUGE_ORDERS if rouge else (1,))
-    tokenised = placed.select(*keys, *[c.alias(name) for name, c in columns.items()])
-    carried = [*keys, "exact"]
-    if rouge_l:
-        tokenised = tokenised.withColumn("lcs", common_subsequence("rouge_mine", "rouge_theirs"))
-        carried.append("lcs")
+        tokens |= {"rouge_mine": rouge_tokens(mine), "rouge_theirs": rouge_tokens(theirs)}
+    scored = pairs.select(*keep, *[column.alias(name) for name, column in tokens.items()])
+    out: list[Column | str] = [*keep, "exact"]
+    if bleu:
+        shared = overlap_counts(F.col("bleu_mine"), F.col("bleu_theirs"), BLEU_ORDERS)
+        scored = scored.withColumn("bleu_shared", shared)
+        for i, n in enumerate(BLEU_ORDERS):
+            out.append(F.get("bleu_shared", F.lit(i)).alias(f"match{n}"))
+            out.append(gram_total(F.col("bleu_mine"), n).alias(f"total{n}"))
+        out.append(gram_total(F.col("bleu_theirs"), 1).alias("reference_length"))
     if rouge or rouge_l:
-        tokenised = tokenised.withColumns(
-            {side: token_keys(F.col(side)) for side in ("rouge_mine", "rouge_theirs")}
+        orders = ROUGE_ORDERS if rouge else ()
+        sides = (F.col("rouge_mine"), F.col("rouge_theirs"))
+        scored = scored.withColumn(
+            "rouge_shared", overlap_counts(*sides, orders, stemming, subsequence=rouge_l)
         )
-    rows = _overlaps(tokenised, carried, kinds)
-    out: list[Column | str] = [*keys, "exact"]
-    if bleu:
-        for n in BLEU_ORDERS:
-            out += [F.col(f"bleu{n}_match").alias(f"match{n}"), F.col(f"bleu{n}_mine").alias(f"total{n}")]
-        out.append(F.col("bleu1_theirs").alias("reference_length"))
-    sides = (F.col("rouge1_mine"), F.col("rouge1_theirs"))
-    if rouge:
-        for n in ROUGE_ORDERS:
-            match, mine, theirs = (F.col(f"rouge{n}_{part}") for part in ("match", "mine", "theirs"))
-            out.append(_f_measure(match, mine, theirs).alias(f"rouge{n}"))
-    if rouge_l:
-        out.append(_f_measure(F.col("lcs"), *sides).alias("rougeL"))
-    return rows.select(*out)
+        wanted = [(f"rouge{n}", n) for n in orders] + ([("rougeL", 1)] if rouge_l else [])
+        for i, (name, n) in enumerate(wanted):
+            totals = [gram_total(side, n) for side in sides]
+            out.append(_f_measure(F.get("rouge_shared", F.lit(i)), *totals).alias(name))
+    return scored.select(*out)
 
 
 def bleu_score() -> Column:
@@ -186,38 +112,19 @@ def _bleu_sums() -> list[Column]:
 
 
 def corpus_bleu(
-    pairs: DataFrame, id_col: str, prediction: str = "prediction", reference: str = "reference",
-    by: Sequence[str] = (),
+    pairs: DataFrame, prediction: str = "prediction", reference: str = "reference", by: Sequence[str] = ()
 ) -> DataFrame:
-    rows = pair_scores(pairs, id_col, prediction, reference, by, rouge=False, rouge_l=False)
-    sums = rows.groupBy(*by).agg(*_bleu_sums())
-    return sums.select(*by, bleu_score().alias("bleu"))
+    rows = pair_scores(pairs, prediction, reference, by, rouge=False, rouge_l=False)
+    return rows.groupBy(*by).agg(*_bleu_sums()).select(*by, bleu_score().alias("bleu"))
 
 
-def rouge_n(
-    pairs: DataFrame, id_col: str, prediction: str = "prediction", reference: str = "reference",
-    by: Sequence[str] = (), stemming: bool = True,
-) -> DataFrame:
-    rows = pair_scores(
-        pairs, id_col, prediction, reference, by, stemming, bleu=False, rouge_l=False
-    )
-    return rows.groupBy(*by).agg(_mean("rouge1").alias("rouge1"), _mean("rouge2").alias("rouge2"))
-
-
-def rouge_l(
+def rouge(
     pairs: DataFrame, prediction: str = "prediction", reference: str = "reference",
     by: Sequence[str] = (), stemming: bool = True,
 ) -> DataFrame:
-    """Mean ROUGE-L F-measure. No shuffle but the final sum: a pair is scored where it is read."""
-    mine, theirs = rouge_tokens(F.col(prediction)), rouge_tokens(F.col(reference))
-    if stemming:
-        mine, theirs = stemmed(mine), stemmed(theirs)
-    tokenised = pairs.select(*by, mine.alias("mine"), theirs.alias("theirs"))
-    scored = tokenised.select(
-        *by,
-        _f_measure(common_subsequence("mine", "theirs"), F.size("mine"), F.size("theirs")).alias("f"),
-    )
-    return scored.groupBy(*by).agg(_mean("f").alias("rougeL"))
+    """Mean F-measures rouge1, rouge2 and rougeL."""
+    rows = pair_scores(pairs, prediction, reference, by, stemming, bleu=False)
+    return rows.groupBy(*by).agg(*[_mean(name).alias(name) for name in ("rouge1", "rouge2", "rougeL")])
 
 
 def exact_match(
@@ -260,7 +167,6 @@ def f1_scores(df: DataFrame, prediction: str, label: str) -> DataFrame:
 
 def compute_all(
     pairs: DataFrame,
-    id_col: str,
     prediction: str = "prediction",
     reference: str = "reference",
     by: Sequence[str] = (),
@@ -270,7 +176,7 @@ def compute_all(
 ) -> DataFrame:
     """Long table (metric, value) per group: BLEU, ROUGE, accuracy, and perplexity if given losses."""
     by = list(by)
-    rows = pair_scores(pairs, id_col, prediction, reference, by, stemming)
+    rows = pair_scores(pairs, prediction, reference, by, stemming)
     sums = rows.groupBy(*by).agg(
         *_bleu_sums(),
         *[_mean(name).alias(name) for name in ("rouge1", "rouge2", "rougeL")],

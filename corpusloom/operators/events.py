@@ -19,6 +19,7 @@ HISTORY_LIMIT = 1000
 # Metric fields kept from a training log, and latency bucket bounds.
 TRAINING_FIELDS = ("loss", "learning_rate", "grad_norm", "eval_loss", "eval_accuracy")
 LATENCY_BOUNDS = (10, 50, 100, 200, 500, 1000)
+_JSON_END = "corpusloom:end"
 
 
 def _stringified(df: DataFrame, name: str) -> Column:
@@ -27,11 +28,10 @@ def _stringified(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
         return F.to_json(value)
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(value.cast("string"))
+        return F.when(value, "True").when(~value, "False")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        whole = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
-        full = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        return F.when(F.endswith(full, F.lit(".000000")), whole).otherwise(full)
+        iso = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return F.replace(iso, F.lit(".000000"), F.lit(""))
     return value.cast("string")
 
 
@@ -43,39 +43,52 @@ def log_records(df: DataFrame, base: Mapping[str, str], metadata: Sequence[str])
     metadata value is left out.
     """
 
-    def as_map(entries: Mapping[str, str]) -> Column:
-        pairs = [F.struct(F.lit(k).alias("k"), _stringified(df, c).alias("v")) for k, c in entries.items()]
-        if not pairs:
-            return F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))
-        return F.map_from_entries(F.filter(F.array(*pairs), lambda e: e["v"].isNotNull()))
+    sources = {name: [column] for name, column in base.items()}
+    for name in metadata:
+        sources[name] = [name, *sources.get(name, [])]
+    entries = F.array(
+        *[
+            F.struct(F.lit(name).alias("k"), F.coalesce(*[_stringified(df, c) for c in columns]).alias("v"))
+            for name, columns in sources.items()
+        ]
+    )
+    data = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+    return df.select(F.col(base["run_id"]).cast("string").alias("run_id"), data.alias("data"))
+
 
-    shadowing = {name: name for name in metadata}
-    fixed, extra = as_map(base), as_map(shadowing)
-    kept = F.map_filter(fixed, lambda k, _: ~F.map_contains_key(extra, k))
-    return df.select(F.col(base["run_id"]).cast("string").alias("run_id"), F.map_concat(kept, extra).alias("data"))
+def _whole_json(text: Column) -> Column:
+    """The text as a variant if all of it is one JSON value, else null.
+
+    Spark's parser stops after the first value. A marker behind the text shows
+    that nothing else was left. Texts that cannot begin a JSON value skip the parser.
+    """
+    may_be_json = text.rlike(r'^[ \t\r\n]*[-{\["0-9tfn]')
+    closed = F.concat(F.lit("["), text, F.lit(f',"{_JSON_END}"]'))
+    pair = F.try_parse_json(F.when(may_be_json, closed))
+    whole = F.try_variant_get(pair, "$[1]", "string") == _JSON_END
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
 def parse_values(records: DataFrame, keys: Sequence[str], data: str = "data") -> DataFrame:
     """Long form (…, key, kind, text, parsed): each value read as JSON, or else as text. Works on streams."""
-    others = [F.col(c) for c in keys]
-    long = records.select(*others, F.explode(data).alias("key", "text"))
-    parsed = F.try_parse_json("text")
-    # Bare NaN and Infinity are read as numbers by the original reader.
+    long = records.select(*keys, F.explode(data).alias("key", "text"))
+    read = long.withColumn("json", _whole_json(F.col("text")))
+    # Bare NaN and Infinity are numbers to the original reader.
     special = F.col("text").isin("NaN", "Infinity", "-Infinity")
-    schema = F.schema_of_variant(F.coalesce(parsed, F.col("text").cast("variant")))
+    opening = F.left(F.ltrim("text", F.lit(" \t\r\n")), F.lit(1))
     kind = (
-        F.when(special | schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "VOID", "null")
-        .when(F.startswith(schema, F.lit("OBJECT")), "object")
-        .when(F.startswith(schema, F.lit("ARRAY")), "array")
-        .otherwise("string")
+        F.when(special, "number")
+        .when(F.col("json").isNull() | (opening == '"'), "string")
+        .when(opening == "{", "object")
+        .when(opening == "[", "array")
+        .when(opening.isin("t", "f"), "boolean")
+        .when(opening == "n", "null")
+        .otherwise("number")
     )
-    value = F.when(special, F.col("text").try_cast("double").cast("variant"))
-    return long.select(
-        *others, "key", kind.alias("kind"), "text",
-        value.otherwise(F.coalesce(parsed, F.col("text").cast("variant"))).alias("parsed"),
+    parsed = F.when(special, F.col("text").try_cast("double").cast("variant")).otherwise(
+        F.coalesce("json", F.col("text").cast("variant"))
     )
+    return read.select(*keys, "key", kind.alias("kind"), "text", parsed.alias("parsed"))
 
 
 def for_run(log: DataFrame, run_id: str, since: Column | None = None) -> DataFrame:

@@ -131,7 +131,7 @@ _SQL_BLEU = f"""
 
 @query(_SQL_BLEU)
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = E.corpus_bleu(model_pairs(spark, sf_dir), "doc_id", by=["model"])
+    scored = E.corpus_bleu(model_pairs(spark, sf_dir), by=["model"])
     return scored.select("model", rounded("bleu"))
 
 
@@ -154,19 +154,24 @@ def _sql_rouge_tokens(text: str) -> str:
     """
 )
 def rouge_n_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = E.rouge_n(model_pairs(spark, sf_dir), "doc_id", by=["model"], stemming=False)
+    scored = E.rouge(model_pairs(spark, sf_dir), by=["model"], stemming=False)
     return scored.select("model", rounded("rouge1"), rounded("rouge2"))
 
 
 @query()
-def rouge_n_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = E.rouge_n(model_pairs(spark, sf_dir), "doc_id", by=["model"])
-    return scored.select("model", rounded("rouge1"), rounded("rouge2"))
+def rouge_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = E.rouge(model_pairs(spark, sf_dir), by=["model"])
+    return scored.select("model", rounded("rouge1"), rounded("rouge2"), rounded("rougeL"))
 
 
 @query()
-def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.rouge_l(model_pairs(spark, sf_dir), by=["model"]).select("model", rounded("rougeL"))
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score pair by pair, for looking into single answers."""
+    rows = E.pair_scores(model_pairs(spark, sf_dir), keep=["model", "doc_id"])
+    return rows.select(
+        "model", "doc_id", "exact", *[f"match{n}" for n in E.BLEU_ORDERS],
+        *[rounded(name) for name in ("rouge1", "rouge2", "rougeL")],
+    )
 
 
 @query(
@@ -215,7 +220,7 @@ def compute_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
             "tokens": F.length("reference"),
         }
     )
-    metrics = E.compute_all(scored, "doc_id", by=["model"], loss="loss", tokens="tokens")
+    metrics = E.compute_all(scored, by=["model"], loss="loss", tokens="tokens")
     return metrics.select("model", "metric", rounded("value"))
 
 
@@ -285,7 +290,7 @@ def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def evaluate_and_compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compared = evaluate_and_compare(model_pairs(spark, sf_dir), "doc_id", "base", "tuned")
+    compared = evaluate_and_compare(model_pairs(spark, sf_dir), "base", "tuned")
     return compared.select("metric", rounded("base_value"), rounded("tuned_value"), rounded("relative_percent"))
 
 

@@ -137,11 +137,9 @@ def validate(df: DataFrame, text: str) -> DataFrame:
 
 
 def evaluate_and_compare(
-    pairs: DataFrame, id_col: str, base: str, tuned: str, stemming: bool = True,
+    pairs: DataFrame, base: str, tuned: str, stemming: bool = True,
     loss: str | None = None, tokens: str | None = None,
 ) -> DataFrame:
-    """Scores of two models over (model, id, prediction, reference), and their comparison."""
-    metrics = compute_all(
-        pairs, id_col, by=["model"], stemming=stemming, loss=loss, tokens=tokens
-    )
+    """Scores of two models over (model, prediction, reference), and their comparison."""
+    metrics = compute_all(pairs, by=["model"], stemming=stemming, loss=loss, tokens=tokens)
     return compare_models(metrics, base, tuned)
