@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 LOCAL_SCRATCH_CONF = "corpusloom.scratch"
+_SHIPPED: set[str] = set()
 
 
 def build_session(app_name: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,6 +57,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    A job submitted with ``--py-files`` does not need this.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom")
+    shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(f"{archive}.zip")
+    _SHIPPED.add(context.applicationId)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Give a small input as many partitions as there are cores before costly row work.
 
