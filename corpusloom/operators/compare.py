@@ -33,49 +33,52 @@ def compare_models(metrics: DataFrame, base: str, tuned: str) -> DataFrame:
     )
 
 
-def comparison_table(comparison: DataFrame) -> DataFrame:
-    """The report's table: four decimals and a signed percentage, sorted by metric."""
+def _report_cells() -> list[Column]:
     gain = F.format_string("%.2f%%", F.col("relative_percent"))
-    return comparison.select(
-        "metric",
+    return [
+        F.col("metric"),
         F.format_string("%.4f", F.col("base_value")).alias("base_model"),
         F.format_string("%.4f", F.col("tuned_value")).alias("tuned_model"),
         F.when(F.col("relative_percent") > 0, F.concat(F.lit("+"), gain)).otherwise(gain).alias("improvement"),
-    ).orderBy("metric")
+    ]
 
 
-def comparison_summary(comparison: DataFrame) -> DataFrame:
-    """Improved and total metrics, and the best one (first by name on a tie)."""
+def comparison_table(comparison: DataFrame) -> DataFrame:
+    """The report's table: four decimals and a signed percentage, sorted by metric."""
+    return comparison.select(*_report_cells()).orderBy("metric")
+
+
+def _summary_sums() -> list[Column]:
     best = F.struct(-F.col("relative_percent"), F.col("metric"))
-    return comparison.agg(
+    return [
         F.count_if(F.col("relative_percent") > 0).alias("improved"),
         F.count(F.lit(1)).alias("total"),
         F.min_by("metric", best).alias("best_metric"),
         F.max("relative_percent").alias("best_percent"),
-    )
+    ]
+
+
+def comparison_summary(comparison: DataFrame) -> DataFrame:
+    """Improved and total metrics, and the best one (first by name on a tie)."""
+    return comparison.agg(*_summary_sums())
 
 
 def comparison_report(comparison: DataFrame) -> DataFrame:
     """The Markdown report as one row (bounded: one line per metric name)."""
-    line = F.concat_ws(" | ", "metric", "base_model", "tuned_model", "improvement")
-    lines = comparison_table(comparison).agg(
-        F.array_sort(F.collect_list(F.struct("metric", F.concat(F.lit("| "), line, F.lit(" |")).alias("line")))).alias("rows")
-    )
-    summary = comparison_summary(comparison)
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *_report_cells()), F.lit(" |\n"))
+    lines = F.array_sort(F.collect_list(F.struct("metric", line.alias("line"))))
+    one = comparison.agg(lines.alias("rows"), *_summary_sums())
     head = (
         "# Model Comparison Report\n\n## Metrics Comparison\n\n"
         "| Metric | Base Model | Fine-tuned Model | Improvement |\n"
         "|--------|------------|------------------|-------------|\n"
     )
-    body = F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
     counted = F.format_string("\n## Summary\n\n- **Metrics improved**: %d/%d\n", "improved", "total")
     best = F.when(
         F.col("total") > 0, F.format_string("- **Best improvement**: %s (%.2f%%)\n", "best_metric", "best_percent")
     ).otherwise(F.lit(""))
-    one = lines.withColumn("one", F.lit(1)).join(summary.withColumn("one", F.lit(1)), "one")
-    return one.select(
-        F.concat(F.lit(head), F.when(F.col("total") > 0, body).otherwise(F.lit("")), counted, best).alias("report")
-    )
+    body = F.array_join(F.transform("rows", lambda r: r["line"]), "")
+    return one.select(F.concat(F.lit(head), body, counted, best).alias("report"))
 
 
 def paired_response_delta(responses: DataFrame, base: str, tuned: str, id_col: str) -> DataFrame:

@@ -196,49 +196,59 @@ def run_progress(latest: DataFrame, total_agents: int) -> DataFrame:
     )
 
 
-def curve_sample(events: DataFrame, value: str, slice_width: str = "1 hour") -> DataFrame:
+def _slice_with_rank(rows: DataFrame, wanted: DataFrame, width: str) -> DataFrame:
+    """(run_id, slice, wanted): the time slice of each run that holds its wanted rank.
+
+    ``wanted`` counts from 1 within ``rows``. A run contributes one row per slice.
+    """
+    sliced = rows.groupBy("run_id", F.window("ts", width)["start"].alias("slice")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    upto = F.sum("n").over(Window.partitionBy("run_id").orderBy("slice"))
+    placed = sliced.withColumn("upto", upto).join(wanted, "run_id")
+    holds = (F.col("wanted") <= F.col("upto")) & (F.col("wanted") > F.col("upto") - F.col("n"))
+    return placed.where(holds).select(
+        "run_id", "slice", (F.col("wanted") - F.col("upto") + F.col("n")).alias("wanted")
+    )
+
+
+def curve_sample(
+    events: DataFrame, value: str, slice_widths: Sequence[str] = ("1 hour", "1 second")
+) -> DataFrame:
     """First, middle (n div 2, if n > 2) and last event of every run that has a value.
 
     The middle one is found without ordering the run: counts per time slice tell
-    which slice holds it, and only the rows of that slice are ranked. The slice
-    counts of a run are as many as its time span has slices.
+    which slice holds it, that slice is cut more finely, and so on through
+    ``slice_widths``; only the rows of one finest slice per run are ranked.
     """
     order = F.struct("ts", "event_id")
-    picked = F.struct("ts", "event_id", F.col(value).alias("value"))
-    with_value = events.where(F.col(value).isNotNull()).withColumn(
-        "slice", F.window("ts", slice_width)["start"]
-    )
-    slices = with_value.groupBy("run_id", "slice").agg(
+    picked = F.struct("event_id", F.col(value).alias("value"))
+    with_value = events.where(F.col(value).isNotNull())
+    ends = with_value.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(picked, order).alias("first"),
         F.max_by(picked, order).alias("last"),
     )
-    run = Window.partitionBy("run_id")
-    before = F.sum("n").over(run.orderBy("slice")) - F.col("n")
-    placed = slices.withColumn("total", F.sum("n").over(run)).withColumn("before", before)
-    middle = F.floor(F.col("total") / 2)
-    ends = placed.groupBy("run_id").agg(
-        F.min_by("first", F.col("first.ts")).alias("first"),
-        F.max_by("last", F.col("last.ts")).alias("last"),
-    )
-    holder = placed.where(
-        (F.col("total") > 2) & (middle >= F.col("before")) & (middle < F.col("before") + F.col("n"))
-    ).select("run_id", "slice", (middle - F.col("before") + 1).alias("wanted"))
-    inside = with_value.join(holder, ["run_id", "slice"])
-    rank = F.row_number().over(Window.partitionBy("run_id", "slice").orderBy("ts", "event_id"))
-    middles = inside.withColumn("rank", rank).where(F.col("rank") == F.col("wanted"))
-    outer = ends.select(
-        "run_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit("first").alias("place"), F.col("first.event_id"), F.col("first.value")),
-                F.struct(F.lit("last").alias("place"), F.col("last.event_id"), F.col("last.value")),
-            )
-        ),
-    )
-    return outer.unionByName(
-        middles.select("run_id", F.lit("middle").alias("place"), "event_id", F.col(value).alias("value"))
+
+    rows = with_value.select("run_id", "ts", "event_id", F.col(value).alias("value"))
+    wanted = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select(
+        "run_id", (F.floor(F.col("n") / 2) + 1).alias("wanted")
     )
+    for width in slice_widths:
+        holder = _slice_with_rank(rows, wanted, width)
+        inside = holder.select("run_id", "slice")
+        rows = rows.withColumn("slice", F.window("ts", width)["start"]).join(
+            inside, ["run_id", "slice"], "left_semi"
+        ).drop("slice")
+        wanted = holder.select("run_id", "wanted")
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id"))
+    middles = rows.withColumn("rank", rank).join(wanted, "run_id").where(F.col("rank") == F.col("wanted"))
+
+    def end(place: str) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.col(f"{place}.event_id"), F.col(f"{place}.value"))
+
+    outer = ends.select("run_id", F.inline(F.array(end("first"), end("last"))))
+    return outer.unionByName(middles.select("run_id", F.lit("middle").alias("place"), "event_id", "value"))
 
 
 def windowed_throughput(

@@ -320,7 +320,7 @@ def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def curve_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.curve_sample(log(spark, sf_dir).where("level = 'METRIC'"), "value", "1 day")
+    return E.curve_sample(log(spark, sf_dir).where("level = 'METRIC'"), "value", ("1 day", "1 minute"))
 
 
 _THROUGHPUT = f"""

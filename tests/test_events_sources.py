@@ -82,10 +82,10 @@ def test_training_metrics(log):
     assert rows[9].learning_rate is None and rows[9].loss == 0.6
 
 
-@pytest.mark.parametrize("width", ["1 hour", "1 day", "10 minutes"])
-def test_curve_sample_positions(log, width):
+@pytest.mark.parametrize("widths", [("1 hour",), ("1 day", "1 hour"), ("1 day", "1 hour", "1 second")])
+def test_curve_sample_positions(log, widths):
     metric = log.where("level = 'METRIC'")
-    got = {(r.run_id, r.place): r.event_id for r in E.curve_sample(metric, "value", width).collect()}
+    got = {(r.run_id, r.place): r.event_id for r in E.curve_sample(metric, "value", widths).collect()}
     # Run a in order: 2, 3, 4, 5 (ties by id); the middle is position 4 // 2.
     assert got == {
         ("a", "first"): 2, ("a", "middle"): 4, ("a", "last"): 5,
