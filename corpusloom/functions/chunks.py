@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WS, strip
 
-SENTENCE_GAP = rf"(?<=[.!?]){WS}+"
+# White space that follows an end mark; looked back for only at white space.
+SENTENCE_GAP = rf"{WS}(?<=[.!?]{WS}){WS}*"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

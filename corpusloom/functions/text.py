@@ -20,21 +20,33 @@ SPACE_POINTS = [
 ]
 WHITESPACE_CHARS = "".join(map(chr, SPACE_POINTS))
 
-# In patterns, a class beyond ASCII is cut with ``[\x80-...]`` first, so that the
-# usual character is ruled out by one comparison instead of one per range.
-_BEYOND_ASCII = r"\x{80}-\x{10FFFF}"
-_WIDE_SPACES = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_WS_NOT_SPACE = rf"\x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F[{_BEYOND_ASCII}&&[{_WIDE_SPACES}]]"
+
+def _points(points: list[int]) -> str:
+    """Code points one by one: below 256 a regex engine keeps them in one bit table."""
+    return "".join(rf"\x{{{p:X}}}" for p in points)
+
+
+# Classes are written for speed in Java's engine: no negation and no character
+# beyond 16 bits, which would switch it to slower matching by code point, and
+# ``[\x80-\xFFFF&&[...]]`` around the rest, which rules out the usual character
+# by one comparison instead of one per range. Half of a wider character counts
+# as a character of its own here and is never white space.
+_BEYOND_ASCII = r"\x{80}-\x{FFFF}"
+_NARROW_SPACES = [p for p in SPACE_POINTS if p < 0x80 and p != 0x20]
+_WIDE_SPACES = _points([p for p in SPACE_POINTS if p >= 0x80 and not 0x2000 <= p <= 0x200A]) + r"\x{2000}-\x{200A}"
+_WS_NOT_SPACE = rf"{_points(_NARROW_SPACES)}[{_BEYOND_ASCII}&&[{_WIDE_SPACES}]]"
 WS = rf"[ {_WS_NOT_SPACE}]"
-NOT_WS = rf"[^ \x09\x0A\x0B\x0C\x0D\x1C\x1D\x1E\x1F{_WIDE_SPACES}]"
+NOT_WS = rf"[^ {_points(_NARROW_SPACES)}{_WIDE_SPACES}]"
 
 # Runs that are not already one plain space; single spaces need no rewrite.
-_WS_RUN = rf"[{_WS_NOT_SPACE}]{WS}*| {WS}+"
+_WS_RUN = rf"{WS}(?:{WS}+|(?<! ))"
 
 # Control characters removed by cleaning (with DEL) and those
 # reported as encoding issues (without DEL).
-CONTROL_CHARS = r"[\x00-\x1F\x7F&&[^\x09\x0A\x0D]]"
-ENCODING_ISSUE_CHARS = r"[\x00-\x1F&&[^\x09\x0A\x0D]]"
+_KEPT_CONTROLS = (0x09, 0x0A, 0x0D)
+_CONTROL_POINTS = [p for p in range(0x20) if p not in _KEPT_CONTROLS]
+CONTROL_CHARS = f"[{_points([*_CONTROL_POINTS, 0x7F])}]"
+ENCODING_ISSUE_CHARS = f"[{_points(_CONTROL_POINTS)}]"
 
 # Python's word character is any letter, any number or the underscore.
 _W = r"[\p{L}\p{N}_]"
@@ -42,8 +54,11 @@ _EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 # Patterns for personal data, in reporting order.
 EMAIL = rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_EDGE}"
-PHONE = rf"(?<!{_W})\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{4}}(?!{_W})"
-SSN = rf"(?<!{_W})\p{{Nd}}{{3}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}(?!{_W})"
+_D = r"[0-9[\x{80}-\x{10FFFF}&&\p{Nd}]]"
+# A first digit with no word character before it; looked back for at digits only.
+_FIRST_D = rf"{_D}(?<!{_W}{_D})"
+PHONE = rf"{_FIRST_D}{_D}{{2}}[-.]?{_D}{{3}}[-.]?{_D}{{4}}(?!{_W})"
+SSN = rf"{_FIRST_D}{_D}{{2}}-{_D}{{2}}-{_D}{{4}}(?!{_W})"
 URL = rf"https?://{NOT_WS}+"
 
 # Ranges in which every character, alone or next to any other
@@ -55,11 +70,20 @@ NFKC_STABLE = [
     (0x20A0, 0x20A7), (0x20A9, 0x20C0), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA),
     (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
 ]
-_NFKC_UNSURE = (
-    rf"[{_BEYOND_ASCII}&&[^"
-    + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in NFKC_STABLE)
-    + "]]"
-)
+
+
+def _outside(ranges: list[tuple[int, int]], low: int, high: int) -> str:
+    """Regex ranges for what the sorted ranges leave out between ``low`` and ``high``."""
+    gaps = []
+    for start, end in ranges:
+        if low < start:
+            gaps.append(rf"\x{{{low:X}}}-\x{{{start - 1:X}}}")
+        low = max(low, end + 1)
+    return "".join(gaps) + rf"\x{{{low:X}}}-\x{{{high:X}}}"
+
+
+# Halves of wider characters lie in a gap, so such text counts as unsure.
+_NFKC_UNSURE = rf"[{_BEYOND_ASCII}&&[{_outside(NFKC_STABLE, 0x80, 0xFFFF)}]]"
 _REPLACEMENT_CHARACTER = chr(0xFFFD)
 
 
