@@ -51,8 +51,10 @@ def add_exports(registry: DataFrame, exports: DataFrame) -> DataFrame:
     A run the registry lacks is an error in a request; here its rows are the
     result of :func:`unknown_exports`.
     """
-    latest = exports.groupBy("run_id", "format").agg(
-        F.max_by(F.struct("path", "created_at"), F.struct("created_at", "path")).alias("export")
+    latest = (
+        exports.groupBy("run_id", "format")
+        .agg(F.max(F.struct("created_at", "path")).alias("last"))
+        .select("run_id", "format", F.struct("last.path", "last.created_at").alias("export"))
     )
     # Bounded group: one entry per export format.
     per_run = latest.groupBy("run_id").agg(

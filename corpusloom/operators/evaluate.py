@@ -135,11 +135,13 @@ def exact_match(
     return pairs.groupBy(*by).agg(_mean(same).alias("accuracy"))
 
 
-def perplexity(losses: DataFrame, loss: str, tokens: str, by: Sequence[str] = ()) -> DataFrame:
+def _perplexity(loss: Column, tokens: Column) -> Column:
     """exp of the token-weighted mean loss; no tokens at all gives infinity."""
-    weighted = F.try_divide(F.sum(F.col(loss) * F.col(tokens)), F.sum(F.col(tokens)))
-    value = F.coalesce(F.exp(weighted), F.lit(float("inf")))
-    return losses.groupBy(*by).agg(value.alias("perplexity"))
+    return F.coalesce(F.exp(F.try_divide(F.sum(loss * tokens), F.sum(tokens))), F.lit(float("inf")))
+
+
+def perplexity(losses: DataFrame, loss: str, tokens: str, by: Sequence[str] = ()) -> DataFrame:
+    return losses.groupBy(*by).agg(_perplexity(F.col(loss), F.col(tokens)).alias("perplexity"))
 
 
 def f1_scores(df: DataFrame, prediction: str, label: str) -> DataFrame:
@@ -176,15 +178,16 @@ def compute_all(
 ) -> DataFrame:
     """Long table (metric, value) per group: BLEU, ROUGE, accuracy, and perplexity if given losses."""
     by = list(by)
-    rows = pair_scores(pairs, prediction, reference, by, stemming)
-    sums = rows.groupBy(*by).agg(
+    names = ["bleu", "rouge1", "rouge2", "rougeL", "accuracy"]
+    keep, sums = list(by), [
         *_bleu_sums(),
         *[_mean(name).alias(name) for name in ("rouge1", "rouge2", "rougeL")],
         _mean("exact").alias("accuracy"),
-    )
-    wide = sums.select(*by, bleu_score().alias("bleu"), "rouge1", "rouge2", "rougeL", "accuracy")
-    long = wide.unpivot(by, ["bleu", "rouge1", "rouge2", "rougeL", "accuracy"], "metric", "value")
-    if loss is None or tokens is None:
-        return long
-    ppl = perplexity(pairs, loss, tokens, by)
-    return long.unionByName(ppl.unpivot(by, ["perplexity"], "metric", "value"))
+    ]
+    if loss is not None and tokens is not None:
+        keep += [loss, tokens]
+        names.append("perplexity")
+        sums.append(_perplexity(F.col(loss), F.col(tokens)).alias("perplexity"))
+    rows = pair_scores(pairs, prediction, reference, keep, stemming)
+    wide = rows.groupBy(*by).agg(*sums).withColumn("bleu", bleu_score())
+    return wide.select(*by, *names).unpivot(by, names, "metric", "value")

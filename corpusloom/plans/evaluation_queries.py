@@ -283,7 +283,21 @@ def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select("improved", "total", "best_metric", rounded("best_percent"))
 
 
-@query()
+@query(
+    f"""
+    SELECT '# Model Comparison Report' || chr(10) || chr(10) || '## Metrics Comparison' || chr(10) || chr(10)
+      || '| Metric | Base Model | Fine-tuned Model | Improvement |' || chr(10)
+      || '|--------|------------|------------------|-------------|' || chr(10)
+      || string_agg('| ' || metric || ' | ' || printf('%.4f', base_value) || ' | ' || printf('%.4f', tuned_value) || ' | '
+           || CASE WHEN relative_percent > 0 THEN '+' ELSE '' END || printf('%.2f', relative_percent) || '% |' || chr(10),
+           '' ORDER BY metric)
+      || chr(10) || '## Summary' || chr(10) || chr(10)
+      || '- **Metrics improved**: ' || count(*) FILTER (relative_percent > 0) || '/' || count(*) || chr(10)
+      || '- **Best improvement**: ' || arg_max(metric, relative_percent)
+      || ' (' || printf('%.2f', max(relative_percent)) || '%)' || chr(10) AS report
+    FROM {_COMPARED}
+    """
+)
 def comparison_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.comparison_report(C.compare_models(_metrics(spark, sf_dir), "base", "tuned"))
 

@@ -30,8 +30,20 @@ _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 _URL = r"https?://[^\s\x0B\x1C-\x1F]+"
 
 
-@query()
+# ASCII signs and their full-width forms, which NFKC maps back.
+_ASCII = "".join(map(chr, range(0x21, 0x7F)))
+_FULL_WIDTH = "".join(chr(ord(c) + 0xFEE0) for c in _ASCII)
+
+
+@query("SELECT doc_id, text FROM documents")
 def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts put into full-width letters; normalising must give them back."""
+    wide = F.translate("text", _ASCII, _FULL_WIDTH)
+    return _docs(spark, sf_dir).select("doc_id", X.normalize_unicode(wide).alias("text"))
+
+
+@query()
+def normalize_unicode_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NFKC over whole page sources, which hold entities, accents and symbols."""
     return _pages(spark, sf_dir).select("page_id", X.normalize_unicode(F.col("html")).alias("html"))
 
