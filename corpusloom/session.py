@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 LOCAL_SCRATCH_CONF = "corpusloom.scratch"
+SMALL_INPUT_PER_CORE = 64 * 1024 * 1024
 _SHIPPED: set[str] = set()
 
 
@@ -76,13 +77,10 @@ def spread_small(df: DataFrame) -> DataFrame:
     """Give a small input as many partitions as there are cores before costly row work.
 
     A file of one row group is read by one task however many cores are idle.
-    An input of at least one full split per core is left as it is, so large
-    tables are never shuffled for this; the size is the planner's file estimate.
+    An input with at least half a default split per core is left as it is, so
+    large tables are never shuffled for this; the size is the planner's file
+    estimate.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    ))
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < split * cores else df
+    return df.repartition(cores) if size < SMALL_INPUT_PER_CORE * cores else df

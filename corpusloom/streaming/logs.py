@@ -2,7 +2,7 @@
 
 The checkpoint holds the reader's position, so a restarted consumer goes on
 where it stopped. Append results go straight to files; the full state of an
-aggregate is written as one folder per micro-batch, which a repeated batch
+aggregate is written to a folder per micro-batch, which a repeated batch
 overwrites with the same rows. Nothing passes through the driver.
 """
 
@@ -55,12 +55,19 @@ def append_result(stream: DataFrame, label: str) -> DataFrame:
 
 
 def snapshot_result(stream: DataFrame, label: str) -> DataFrame:
-    """Run an aggregate over what is there now; its full state as a table."""
+    """Run an aggregate over what is there now; its full state as a table.
+
+    Two folders take turns, so the last whole snapshot stays while the next one
+    is written, and a long stream does not pile up old ones.
+    """
     spark = stream.sparkSession
     root = scratch_path(spark, label)
+    finished: list[str] = []
 
     def write(state: DataFrame, batch_id: int) -> None:
-        state.write.mode("overwrite").parquet(os.path.join(root, f"batch={batch_id}"))
+        path = os.path.join(root, f"snapshot-{batch_id % 2}")
+        state.write.mode("overwrite").parquet(path)
+        finished.append(path)
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -70,5 +77,6 @@ def snapshot_result(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress)
-    return spark.read.schema(stream.schema).parquet(os.path.join(root, f"batch={last}"))
+    if not finished:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(finished[-1])
