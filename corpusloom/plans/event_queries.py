@@ -70,6 +70,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A file stream watches a folder or a pattern, not a single file.
     return as_log(S.read_events(spark, os.path.join(sf_dir, "events.parque[t]"), EVENT_SCHEMA))
 
 

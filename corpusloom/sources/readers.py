@@ -126,13 +126,16 @@ def _inferred_types(text: DataFrame) -> dict[str, str]:
 
 
 def file_inventory(spark: SparkSession, path: str, prefix: str = "", buckets: Mapping[str, str] | None = None) -> DataFrame:
-    """(path, size, modified) of the files below ``path``; contents are not read."""
+    """(path, size, modified) of the files below ``path`` whose key starts with ``prefix``; contents are not read."""
+    base = resolve_uri(path, buckets).rstrip("/")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .load(resolve_uri(path, buckets))
+        .load(base)
         .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
     )
     if not prefix:
         return files
-    return files.where(F.contains(F.col("path"), F.lit(f"/{prefix.lstrip('/')}")))
+    # Listed paths carry a scheme that the given one may lack.
+    root = base.split("://")[-1].removeprefix("file:")
+    return files.where(F.contains(F.col("path"), F.lit(f"{root}/{prefix.lstrip('/')}")))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import events as E
+from corpusloom.session import scratch_path
 from corpusloom.sources.readers import file_inventory, infer_format, load, resolve_uri
 from corpusloom.sources.writers import save_jsonl
 from corpusloom.streaming import logs as S
@@ -184,3 +185,30 @@ def test_inventory_is_recursive(spark, tmp_path):
     sizes = {r.path.rsplit("/", 1)[-1]: r.size for r in file_inventory(spark, str(tmp_path)).collect()}
     assert sizes == {"a.bin": 5, "b.bin": 1, "c.bin": 2}
     assert file_inventory(spark, str(tmp_path), "m/").count() == 2
+    assert file_inventory(spark, str(tmp_path), "sub/").count() == 0
+
+
+class _Cluster:
+    """Just enough of a session that is not local."""
+
+    class sparkContext:
+        master = "spark://host"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class conf:
+        values: dict = {}
+
+        @classmethod
+        def get(cls, key, default=None):
+            return cls.values.get(key, default)
+
+
+def test_scratch_folder_is_the_one_the_cluster_names(spark):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(_Cluster, "x")
+    _Cluster.conf.values = {"spark.checkpoint.dir": "hdfs://shared/points/"}
+    assert scratch_path(_Cluster, "x").startswith("hdfs://shared/points/x-")
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")

@@ -40,6 +40,8 @@ def test_each_sql_has_a_query():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     result = QUERIES[name](spark, SF)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     rows = [tuple(row) for row in result.collect()]
     if name not in SQL:
         assert rows and len(set(result.columns)) == len(result.columns)
@@ -52,3 +54,12 @@ def test_query(spark, tables, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    def plan(name):
+        return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+    assert "EqualTo(o_orderpriority,2-HIGH)" in plan("list_models")
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan("exact_dedup_kept_ids")
+    assert "ReadSchema: struct<text:string>" in plan("text_length_stats")
