@@ -42,7 +42,6 @@ def log_records(df: DataFrame, base: Mapping[str, str], metadata: Sequence[str])
     columns. A metadata field of the same name replaces a fixed one; a missing
     metadata value is left out.
     """
-
     sources = {name: [column] for name, column in base.items()}
     for name in metadata:
         sources[name] = [name, *sources.get(name, [])]
