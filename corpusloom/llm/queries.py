@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing, packing
+from corpusloom.llm import exact_dedup, minhash_dedup, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,10 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+@_query()
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.minhash_dedup(
+        _table(spark, sf_dir, "documents"), words=3, percent=85, bands=26, rows=5
+    ).drop("class_id")
