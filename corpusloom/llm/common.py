@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,6 +24,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` written with a column that numbers its rows, and the name of that column."""
+    name = "row_"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -113,7 +119,3 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def sql_word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
-
-
-def repository_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

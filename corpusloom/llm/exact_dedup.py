@@ -23,9 +23,14 @@ def normalised(text: Column) -> Column:
 
 
 def exact_dedup(
-    docs: DataFrame, text: str = "text", id_column: str = "doc_id", hot_texts: int = HOT_TEXTS, salts: int = SALTS
+    docs: DataFrame,
+    text: str = "text",
+    id_column: str = "doc_id",
+    carry: tuple[str, ...] = (),
+    hot_texts: int = HOT_TEXTS,
+    salts: int = SALTS,
 ) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: id, keep_id, group_size, kept, text_sha256, and the columns to ``carry``.
 
     Of equal texts the row with the most code points before normalising stays,
     then the one with the smallest id (a null id counts as the largest).
@@ -46,6 +51,7 @@ def exact_dedup(
             F.col(id_column).alias("id"),
             F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("n"),
             normalised(F.col(text)).alias("body"),
+            F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
         ).select("*", F.xxhash64("body").alias("fp"), F.substring("body", 1, SPLITTER_CHARS).alias("head")),
         "normalised",
     )
@@ -66,7 +72,7 @@ def exact_dedup(
         .withColumn("place", F.row_number().over(best))
         .withColumn("first", F.first(F.struct("n", "id")).over(best))
         .withColumn("size", F.count(F.lit(1)).over(same))
-        .select("id", "place", "first", "size", "part", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"))
+        .select("id", "carried", "place", "first", "size", "part", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"))
     )
     groups = written(sorted_rows, "content-sort")
     order = F.struct(
@@ -87,5 +93,6 @@ def exact_dedup(
             F.when(whole, F.col("whole_size")).otherwise(F.col("size")).cast("bigint").alias("group_size"),
             ((F.col("place") == 1) & (~whole | (F.col("part") == F.col("whole_part")))).alias("kept"),
             "text_sha256",
+            *[F.col("carried").getField(c).alias(c) for c in carry],
         )
     )

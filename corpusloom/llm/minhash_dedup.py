@@ -63,8 +63,8 @@ def _describe(words: int, bands: int, rows: int) -> Callable:
                 digests.append(_digest(found))
                 keys.append(band_keys(circulant_signature(found, bands * rows), bands, rows) if len(found) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "n_shingles", "id", "bands"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc", "row", "n_shingles", "id", "bands"],
             )
 
     return run
@@ -102,8 +102,9 @@ def minhash_dedup(
     percent: int = 80,
     bands: int = 32,
     rows: int = 4,
+    row_column: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept, class_id.
+    """One row per input row: id, n_shingles, component_id, kept, class_id, and ``row_column`` if given.
 
     Words are separated by ASCII white space, A-Z in lower case. Documents link
     when 100 * |intersection| >= percent * |union| of their sets of ``words``-word
@@ -123,12 +124,15 @@ def minhash_dedup(
     Rows that repeat an id have the component of that id. An empty table gives
     an empty result. Other columns are not read.
     """
-    source = docs.select(F.col(id_column).alias("doc"), F.col(text).cast("string").alias("text"))
+    row = F.col(row_column) if row_column else F.lit(None)
+    source = docs.select(
+        F.col(id_column).alias("doc"), F.col(text).cast("string").alias("text"), row.cast("bigint").alias("row")
+    )
     kind = source.schema["doc"].dataType.simpleString()
     # From here on "id" is the 64-bit hash of a shingle set: rows with equal sets are one class.
     described = written(
         source.mapInArrow(
-            _describe(words, bands, rows), f"doc {kind}, n_shingles bigint, id bigint, bands array<bigint>"
+            _describe(words, bands, rows), f"doc {kind}, row bigint, n_shingles bigint, id bigint, bands array<bigint>"
         ),
         "signatures",
     )
@@ -182,11 +186,12 @@ def minhash_dedup(
     has_id = F.col("doc").isNotNull()
     own = F.when(has_id, F.coalesce("component_id", "doc"))
     return (
-        described.select("doc", "n_shingles", "id")
+        described.select("doc", "row", "n_shingles", "id")
         .join(by_class, "id", "left")
         .select(
             F.col("doc").alias(id_column), "n_shingles", own.alias("component_id"),
             F.coalesce(F.col("doc") == own, F.lit(False)).alias("kept"),
             F.when(has_id, F.coalesce("first_doc", "doc")).alias("class_id"),
+            *([F.col("row").alias(row_column)] if row_column else []),
         )
     )

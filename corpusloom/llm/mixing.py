@@ -90,12 +90,14 @@ def mix_plan(
     weights: tuple[int, ...] = (1, 2, 3),
     max_repeats: int = MAX_REPEATS,
     schedules: dict[int, list[tuple[float, float]]] | None = None,
+    row_column: str | None = None,
 ) -> DataFrame:
     """How often and when each document is read: one row per input row.
 
     Columns: id, no_source, name, size (words), source_size, target, takes,
     taken (= takes * size), first_position (time of the first reading, null if
-    none), start, demand_start and target for later readings.
+    none), due (place of the first reading in the demand) and row, which is
+    ``row_column`` or else a number of the row.
 
     A source's documents stand in the order of a hash of their id. Whole passes
     over the source are taken while its target allows; of the last pass, the
@@ -115,7 +117,8 @@ def mix_plan(
             *_source_key(source),
             sql_word_count(F.col(text)).alias("size"),
             F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("h"),
-        ).withColumn("row", F.monotonically_increasing_id()),
+            (F.col(row_column) if row_column else F.monotonically_increasing_id()).alias("row"),
+        ),
         "sizes",
     )
     key = ["no_source", "name"]
@@ -138,8 +141,12 @@ def mix_plan(
         .drop("slice", "slice_start", "n_docs"),
         "ends",
     )
-    gaps = ends.groupBy(*key).agg(
-        (F.max("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap")
+    # Written, so that its size is known when the join with the documents is planned.
+    gaps = written(
+        ends.groupBy(*key).agg(
+            (F.max("rest") - F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))).alias("gap")
+        ),
+        "gaps",
     )
     spare = ends.where("NOT extra AND size > 0").join(gaps, key)
     off = F.abs(F.col("size") - F.col("gap"))
@@ -149,7 +156,7 @@ def mix_plan(
         .agg(F.min(F.struct(off.alias("off"), "h", "id", "size", "row")).alias("pick"))
         .select(*key, F.col("pick.row").alias("filler"))
     )
-    ends_of_sources = written(gaps.join(nearest, key, "left"), "gaps")
+    ends_of_sources = written(gaps.join(nearest, key, "left"), "fillers")
     filler = F.coalesce(F.col("row") == F.col("filler"), F.lit(False))
     extra = F.col("extra") | filler
     takes = F.when(F.col("size") > 0, F.col("passes") + F.when(extra, 1).otherwise(0)).otherwise(0)
@@ -165,7 +172,7 @@ def mix_plan(
         ends.join(ends_of_sources, key)
         .select("*", takes.cast("bigint").alias("takes"), due.alias("due"))
         .select(
-            "id", *key, "weight", "size", "source_size", "target", "takes",
+            "id", "row", *key, "weight", "size", "source_size", "target", "takes",
             (F.col("takes") * F.col("size")).alias("taken"),
             F.when(F.col("takes") > 0, position).alias("first_position"),
             "due",
@@ -176,10 +183,10 @@ def mix_plan(
 def curriculum(plan: DataFrame, schedules: dict[int, list[tuple[float, float]]] | None = None) -> DataFrame:
     """Every reading of a document, range-sorted by its training position.
 
-    Columns: id, reading (from 0), position (0 to 1), size.
+    Columns: id, row, reading (from 0), position (0 to 1), size.
     """
     readings = plan.where("takes > 0").select(
-        "id", "size", "weight", F.explode(F.sequence(F.lit(0), F.col("takes").cast("int") - 1)).alias("reading"),
+        "id", "row", "size", "weight", F.explode(F.sequence(F.lit(0), F.col("takes").cast("int") - 1)).alias("reading"),
         F.try_divide(F.col("due"), F.col("target")).alias("first_share"),
         F.try_divide(F.col("source_size"), F.col("target")).alias("lap"),
     )
@@ -189,7 +196,7 @@ def curriculum(plan: DataFrame, schedules: dict[int, list[tuple[float, float]]]
         at = time_of_demand(share, knots)
         position = F.when(F.col("weight") == weight, at) if position is None else position.when(F.col("weight") == weight, at)
     return (
-        readings.select("id", "reading", position.alias("position"), "size")
+        readings.select("id", "row", "reading", position.alias("position"), "size")
         .repartitionByRange("position", "id")
-        .sortWithinPartitions("position", "id", "reading")
+        .sortWithinPartitions("position", "id", "row", "reading")
     )

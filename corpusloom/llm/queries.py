@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, minhash_dedup, mixing, packing
+from corpusloom.llm import exact_dedup, minhash_dedup, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -110,3 +110,8 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_dedup(
         _table(spark, sf_dir, "documents"), words=3, percent=85, bands=26, rows=5
     ).drop("class_id")
+
+
+@_query()
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
