@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, mixing, packing, quality, suffix_dedup
+from corpusloom.llm import compact_windows, embedding_dedup, exact_dedup, html_extract, language_id, minhash_dedup, mixing, packing, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,8 @@ def op3_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op4_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(_table(spark, sf_dir, "documents"))
