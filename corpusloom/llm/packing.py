@@ -27,7 +27,9 @@ END_ID = 0
 PADDING = 0.02
 UNITS = 500_000
 
-_UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+_UNIT = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+#: What a text without runs of white space, and with no white space but blanks and line ends, does not hold.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\x00")
 #: White space that only some of the splitters' rules count as such: such texts are encoded whole.
 _ODD_SPACE = re.compile(
     "[\x1c-\x1f"
@@ -68,7 +70,21 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, _UNIT.findall(text)))
+        if any(run in text for run in _RUNS) or text[:1] in " \n" or text[-1:] in " \n":
+            return b"".join(map(self.__getitem__, _UNIT.findall(text)))
+        # Each word but the first with the one blank or line end before it.
+        units = text.replace("\n", " \n").replace(" ", "\x00 ").replace("\x00 \n", "\x00\n").split("\x00")
+        return b"".join(map(self.__getitem__, units))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this process, so that what it remembers serves later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def ship_vocabulary(spark: SparkSession, path: str) -> str:
@@ -83,7 +99,7 @@ def _powers(length: int) -> list[int]:
 
 def _cutter(file: str, window: int, end_id: int, keep_ids: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(SparkFiles.get(file)), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = encoder_of(SparkFiles.get(file)), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids_crc32", "doc_tokens", "cut_crcs", "ids")}
             for at, text in enumerate(batch.column(1).to_pylist()):
