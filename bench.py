@@ -39,6 +39,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.ui.enabled": "false",
+            "corpusloom.read.partitions": cpus,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

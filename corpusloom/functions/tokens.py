@@ -52,6 +52,8 @@ def _local(path: str) -> str:
 def codec(vocabulary: str, special_tokens: bool = False) -> Codec:
     path = _local(vocabulary)
     if path.endswith(".tiktoken"):
+        if special_tokens:
+            raise ValueError("a rank file has no special tokens")
         import tiktoken
 
         with open(path, "rb") as lines:

@@ -33,9 +33,11 @@ def page(
 
 
 def preview(df: DataFrame, order_by: str, limit: int = 10) -> DataFrame:
-    """First rows (at most 100) with the size of the whole table."""
+    """First rows with the size of the whole table; more than ``MAX_PAGE`` rows are refused."""
+    if not 0 <= limit <= MAX_PAGE:
+        raise ValueError(f"need 0 <= limit <= {MAX_PAGE}")
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.orderBy(order_by).limit(min(limit, MAX_PAGE)).withColumn("total", total)
+    return df.orderBy(order_by).limit(limit).withColumn("total", total)
 
 
 def head_sample(df: DataFrame, order_by: str, n: int = 20) -> DataFrame:

@@ -97,12 +97,13 @@ def for_run(log: DataFrame, run_id: str, since: Column | None = None) -> DataFra
 
 
 def log_history(log: DataFrame, limit: int = 100) -> DataFrame:
-    """The oldest ``limit`` events (at most 1000) of every run, with their number as total.
+    """The oldest ``limit`` events of every run, with their number as total; above 1000 is refused.
 
     Spark cuts each run to the limit before the shuffle, so a long run sends at
     most ``limit`` rows per map task.
     """
-    limit = min(limit, HISTORY_LIMIT)
+    if not 0 <= limit <= HISTORY_LIMIT:
+        raise ValueError(f"need 0 <= limit <= {HISTORY_LIMIT}")
     order = Window.partitionBy("run_id").orderBy("ts", "event_id")
     oldest = log.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
     return oldest.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("run_id")))
@@ -278,3 +279,34 @@ def error_summary(log: DataFrame) -> DataFrame:
 
 def delete_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     return log.join(runs.select("run_id"), "run_id", "left_anti")
+
+
+def event_dedup(events: DataFrame, id_col: str = "event_id", delay: str = "1 hour") -> DataFrame:
+    """Each event once. On a stream, copies are recognised within ``delay`` of event time; in batch, always."""
+    if events.isStreaming:
+        return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([id_col])
+    return events.dropDuplicates([id_col])
+
+
+def early_stopping(events: DataFrame, value: str, patience: int, min_gain: float = 0.0) -> DataFrame:
+    """(run_id, stop_event, stop_ts, best): where a run would stop, for the runs that would.
+
+    A run stops at the first event after which ``patience`` events in a row have
+    not brought the least value so far down by more than ``min_gain``. Events
+    without a value do not count. The windows keep running figures only.
+    """
+    if patience < 1:
+        raise ValueError("patience must be at least 1")
+    in_order = Window.partitionBy("run_id").orderBy("ts", "event_id")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    best = F.min(value).over(so_far)
+    rows = events.where(F.col(value).isNotNull()).select(
+        "run_id", "ts", "event_id", value, F.row_number().over(in_order).alias("place"), best.alias("best")
+    )
+    gained = rows.withColumn("gain_place", F.when(F.col("best").isNull() | (F.col(value) < F.col("best") - min_gain), F.col("place")))
+    last_gain = F.max("gain_place").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stalled = gained.withColumn("stalled", F.col("place") - last_gain).where(F.col("stalled") >= patience)
+    first = stalled.groupBy("run_id").agg(F.min(F.struct("place", "ts", "event_id", "best")).alias("stop"))
+    return first.select(
+        "run_id", F.col("stop.event_id").alias("stop_event"), F.col("stop.ts").alias("stop_ts"), F.col("stop.best").alias("best")
+    )

@@ -18,7 +18,6 @@ from corpusloom.functions.text import estimated_tokens
 
 # What a missing value reads as when it is measured as text.
 MISSING_AS_TEXT = "nan"
-SHORT_KEY_BYTES = 32
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -27,16 +26,10 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 def _value_key(value: Column, dtype: T.DataType) -> Column:
-    """Short stand-in for a value, null for missing; long values become a digest.
-
-    A digest key is 33 bytes long and so never equals a value kept as it is.
-    """
+    """Digest that stands for a value where only equality matters, null for missing."""
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         value = F.when(~F.isnan(value), value + F.lit(0.0))  # NaN is missing, -0.0 equals 0.0
-    text = value.cast("string")
-    return F.when(F.octet_length(text) <= SHORT_KEY_BYTES, text).otherwise(
-        F.concat(F.lit("#"), F.md5(text))
-    )
+    return F.unhex(F.md5(value.cast("string")))
 
 
 def _cells(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:

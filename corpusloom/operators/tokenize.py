@@ -65,6 +65,58 @@ def tokenize(
     )
 
 
+def token_windows(
+    df: DataFrame, text: str, max_length: int, padding: bool = False, pad_id: int = 0,
+    vocabulary: str | None = None, special_tokens: bool = False,
+) -> DataFrame:
+    """Like :func:`tokenize`, but a long text becomes several rows, numbered by ``window``: no id is lost.
+
+    A text without ids is one empty window.
+    """
+    encoded = df.withColumn("__ids", token_ids(F.col(text), vocabulary, special_tokens))
+    last = F.greatest(F.ceil(F.size("__ids") / F.lit(max_length)).cast("int"), F.lit(1)) - 1
+    cut = encoded.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    ids = F.slice("__ids", F.col("window") * max_length + 1, max_length)
+    cut = cut.withColumn("input_ids", ids).drop("__ids")
+    real = F.size("input_ids")
+    length = F.lit(max_length) if padding else real
+    return cut.select(
+        *[c for c in df.columns if c not in ("window", "input_ids", "attention_mask", "token_count")],
+        "window",
+        (_padded(F.col("input_ids"), length, pad_id) if padding else F.col("input_ids")).alias("input_ids"),
+        _mask(real, length).alias("attention_mask"),
+        length.alias("token_count"),
+    )
+
+
+def truncation_stats(df: DataFrame, max_length: int, counts: str = "token_count", by: Sequence[str] = ()) -> DataFrame:
+    """What a cut at ``max_length`` would take: rows, truncated_rows, tokens, lost_tokens."""
+    n = F.coalesce(F.col(counts), F.lit(0)).cast("bigint")
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(n > max_length).alias("truncated_rows"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.greatest(n - max_length, F.lit(0))), F.lit(0)).alias("lost_tokens"),
+    )
+
+
+def row_ranks(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, rank): places from 0 of unique integer ids in their order.
+
+    Counts per range of ids give each range its first rank; about the root of
+    the number of rows is the number of ranges, and the size of one if ids are
+    spread evenly. Two figures per table reach the driver.
+    """
+    ids = df.select(F.col(id_col).alias("id"))
+    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    width = max(1, int((high - low + 1) / max(1.0, n**0.5))) if n else 1
+    ranged = ids.withColumn("range", F.floor((F.col("id") - F.lit(low)) / F.lit(width)))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("id"))
+    return ranged.withColumn("place", place).join(counts, "range").select("id", (F.col("before") + F.col("place") - 1).alias("rank"))
+
+
 def tokenize_batches(
     df: DataFrame,
     text: str,
@@ -78,15 +130,16 @@ def tokenize_batches(
 ) -> DataFrame:
     """Tokenize in batches of neighbouring ids, each padded to its own longest row.
 
-    A batch is ``id div batch_size`` over a unique integer id, so the window
-    that looks up the longest row never holds more than ``batch_size`` rows.
+    Rows are numbered by their unique integer ids, and a batch is that number
+    div ``batch_size``, so it holds ``batch_size`` rows however sparse the ids are.
     ``token_count`` is the length after padding, ``true_tokens`` the one before.
     """
+    ranks = row_ranks(df, id_col).select(F.col("id").alias(id_col), "rank")
     encoded = tokenize(
-        df, text, max_length=max_length, vocabulary=vocabulary, special_tokens=special_tokens
+        df.join(ranks, id_col), text, max_length=max_length, vocabulary=vocabulary, special_tokens=special_tokens
     ).drop("attention_mask", "token_count")
-    batch = F.floor(F.col(id_col) / F.lit(batch_size))
-    numbered = encoded.withColumn("batch_id", batch).withColumn("true_tokens", F.size("input_ids"))
+    batch = F.floor(F.col("rank") / F.lit(batch_size))
+    numbered = encoded.withColumn("batch_id", batch).drop("rank").withColumn("true_tokens", F.size("input_ids"))
     if padding:
         longest = F.max("true_tokens").over(Window.partitionBy("batch_id"))
     else:

@@ -44,11 +44,11 @@ _DOC = ["doc_id", "text", "lang", "source", "n_chars"]
 @query(
     _union(
         f"SELECT '{{c}}' AS \"column\", count(*) - count({{c}}) AS missing FROM {_LABELLED}",
-        ["doc_id", "text", "lang", "quality"],
+        [*_DOC, "quality"],
     )
 )
 def missing_per_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.missing_per_column(labelled(spark, sf_dir), ["doc_id", "text", "lang", "quality"])
+    return P.missing_per_column(labelled(spark, sf_dir), [*_DOC, "quality"])
 
 
 @query(
@@ -233,12 +233,13 @@ def check_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("has_duplicates", "duplicate_count", rounded("duplicate_percentage"))
 
 
-# A text column with gaps: the text of labelled documents only.
-_GAPPED = "(SELECT CASE WHEN l.doc_id IS NOT NULL THEN d.text END AS text FROM documents d LEFT JOIN labels l USING (doc_id))"
+# All texts, and a missing one for every label.
+_GAPPED = "(SELECT text FROM documents UNION ALL SELECT CAST(NULL AS VARCHAR) FROM labels)"
 
 
 def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).select(F.when(F.col("quality").isNotNull(), F.col("text")).alias("text"))
+    missing = table(spark, sf_dir, "labels").select(F.lit(None).cast("string").alias("text"))
+    return documents(spark, sf_dir).select("text").unionByName(missing)
 
 
 @query(

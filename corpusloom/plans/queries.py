@@ -5,6 +5,7 @@ from corpusloom.plans import (  # noqa: F401  (importing registers them)
     evaluation_queries,
     event_queries,
     profile_queries,
+    selection_queries,
     source_queries,
     text_queries,
 )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import spread_small
+from corpusloom.session import spread_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     """A table of the data set; ``spread`` for queries with costly work per row."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if spread:
-        df = spread_small(df)
+        df = spread_rows(df)
     # Zone-less times are UTC; event-time operators need a zoned type.
     for column, dtype in df.dtypes:
         if dtype == "timestamp_ntz":

@@ -11,9 +11,10 @@ from corpusloom.session import scratch_path
 from corpusloom.sources.readers import file_inventory, load
 from corpusloom.sources.writers import save_jsonl
 
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 _PER_SOURCE = """
 SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars,
-       CAST(sum(doc_id) AS BIGINT) AS id_sum
+       CAST(sum(doc_id) AS BIGINT) AS id_sum, count(DISTINCT lang) AS langs, CAST(sum(n_chars) AS BIGINT) AS stated_chars
 FROM documents GROUP BY source
 """
 
@@ -23,6 +24,8 @@ def _per_source(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("docs"),
         F.sum(F.length("text")).alias("chars"),
         F.sum("doc_id").cast("bigint").alias("id_sum"),
+        F.count_distinct("lang").alias("langs"),
+        F.sum(F.col("n_chars").cast("bigint")).alias("stated_chars"),
     )
 
 
@@ -35,7 +38,7 @@ def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents") + ".csv"
     table(spark, sf_dir, "documents").write.option("header", True).option("escape", '"').csv(path)
-    return _per_source(load(spark, path))
+    return _per_source(load(spark, path, multiline=True))
 
 
 @query(
@@ -58,7 +61,7 @@ def load_csv_missing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents") + ".jsonl"
     table(spark, sf_dir, "documents").write.json(path)
-    return _per_source(load(spark, path, schema="doc_id bigint, text string, source string"))
+    return _per_source(load(spark, path, schema=DOCUMENTS))
 
 
 @query(_PER_SOURCE)
@@ -67,7 +70,7 @@ def load_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "documents") + ".json"
     block = F.floor(F.col("doc_id") / 500).alias("block")
     arrays = table(spark, sf_dir, "documents").groupBy(block).agg(
-        F.to_json(F.collect_list(F.struct("doc_id", "text", "source"))).alias("value")
+        F.to_json(F.collect_list(F.struct("doc_id", "text", "lang", "source", "n_chars"))).alias("value")
     )
     arrays.select("value", "block").write.partitionBy("block").text(path)
     return _per_source(load(spark, path, "json"))

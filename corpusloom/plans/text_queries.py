@@ -282,14 +282,14 @@ def template_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT doc_id, '<|im_start|>user' || chr(10) || text || '<|im_end|>' AS text
-    FROM documents WHERE text <> ''
+    SELECT doc_id, CASE WHEN text <> '' THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' ELSE '' END AS text
+    FROM documents
     """
 )
 def template_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mapped column the table lacks reads as empty."""
     mapping = {"user": "text", "assistant": "no_such_column"}
-    return apply_template(_docs(spark, sf_dir).where("text <> ''"), "chatml", mapping, keep=["doc_id"])
+    return apply_template(_docs(spark, sf_dir), "chatml", mapping, keep=["doc_id"])
 
 
 # --- tokens -----------------------------------------------------------------
@@ -327,13 +327,13 @@ _END_OF_TEXT = 50256
 
 @query()
 def tokenize_fixed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows of 2048 ids with mask and labels, summed up per row."""
-    rows = N.tokenize(
+    """Training rows of 2048 ids with mask and labels, summed up per row; long texts give several."""
+    rows = N.token_windows(
         _docs(spark, sf_dir).select("doc_id", "text"), "text", 2048, padding=True, pad_id=_END_OF_TEXT
     )
     labelled = N.causal_labels(rows, _END_OF_TEXT)
     return labelled.select(
-        "doc_id", "token_count",
+        "doc_id", "window", "token_count",
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("true_tokens"),
         F.size(F.array_remove("labels", N.IGNORED_LABEL)).alias("learned_tokens"),
         F.xxhash64("input_ids").alias("ids_hash"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 LOCAL_SCRATCH_CONF = "corpusloom.scratch"
-SMALL_INPUT_PER_CORE = 64 * 1024 * 1024
+READ_PARTITIONS_CONF = "corpusloom.read.partitions"
 _SHIPPED: set[str] = set()
 
 
@@ -73,14 +73,11 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input as many partitions as there are cores before costly row work.
+def spread_rows(df: DataFrame) -> DataFrame:
+    """The rows dealt over as many partitions as ``corpusloom.read.partitions`` says; as they are if unset.
 
-    A file of one row group is read by one task however many cores are idle.
-    An input with at least half a default split per core is left as it is, so
-    large tables are never shuffled for this; the size is the planner's file
-    estimate.
+    For inputs of few and large row groups, before costly work per row. It costs
+    a shuffle of the input, so it is the caller's choice, at every size alike.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_INPUT_PER_CORE * cores else df
+    wanted = df.sparkSession.conf.get(READ_PARTITIONS_CONF, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -42,13 +42,13 @@ def load(
     file_format: str | None = None,
     schema: T.StructType | str | None = None,
     buckets: Mapping[str, str] | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read a dataset; the suffix decides the format if none is given.
 
     ``schema`` saves the inference pass over CSV and JSON and should be given
-    for large inputs. ``multiline=False`` lets Spark split large CSV files, for
-    data without line breaks inside quotes. JSON Lines always splits.
+    for large inputs. CSV files split over tasks; data with line breaks inside quotes
+    needs ``multiline=True``, which reads a file in one task. JSON Lines always splits.
     """
     kind = file_format or infer_format(path)
     uri = resolve_uri(path, buckets)

@@ -153,12 +153,12 @@ def test_formats_and_uris():
 def test_csv_quoting_missing_words_and_types(spark, tmp_path):
     path = tmp_path / "d.csv"
     path.write_text('text,n,x,flag,mix\n"two\nlines, and ""quotes""",1,1.5,True,1\nplain,NA,2,False,x\nN/A,3,,true,\n')
-    df = load(spark, str(path))
+    df = load(spark, str(path), multiline=True)
     assert dict(df.dtypes) == {"text": "string", "n": "bigint", "x": "double", "flag": "boolean", "mix": "string"}
     assert [tuple(r) for r in df.collect()] == [
         ('two\nlines, and "quotes"', 1, 1.5, True, "1"), ("plain", None, 2.0, False, "x"), (None, 3, None, True, None),
     ]
-    typed = load(spark, str(path), schema="text string, n int, x double, flag boolean, mix string")
+    typed = load(spark, str(path), multiline=True, schema="text string, n int, x double, flag boolean, mix string")
     assert typed.schema["n"].dataType.simpleString() == "int" and typed.collect()[1].n is None
 
 
