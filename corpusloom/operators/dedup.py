@@ -1,4 +1,4 @@
-"""Exact de-duplication."""
+"""Exact and near de-duplication."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import text_digest
+from corpusloom.operators.links import least_reachable
 
 
 def exact_dedup(df: DataFrame, text: str, order_by: Sequence[str] | str) -> DataFrame:
@@ -25,17 +26,65 @@ def exact_dedup(df: DataFrame, text: str, order_by: Sequence[str] | str) -> Data
     )
 
 
-def near_dedup(
-    df: DataFrame, text: str, order_by: Sequence[str] | str, similarity_threshold: float = 0.9
-) -> DataFrame:
-    """Same rows as :func:`exact_dedup`.
+SHINGLE_WORDS = 5
 
-    The operation this answers to accepts a threshold and removes exact copies
-    only; the parameter is kept so that calls carry over unchanged.
+
+def shingle_sets(df: DataFrame, text: str, id_col: str, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, members): hashes of the distinct runs of ``words`` words; a shorter text is one run, an empty one has none."""
+    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\f\r]+"), lambda w: w != "")
+    count = F.greatest(F.size("w") - (words - 1), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), count), lambda k: F.xxhash64(F.slice("w", k, words)))
+    tokens = df.select(F.col(id_col).alias("id"), parts.alias("w"))
+    return tokens.where(F.size("w") > 0).select("id", F.array_sort(F.array_distinct(runs)).alias("members"))
+
+
+def similar_pairs(df: DataFrame, text: str, id_col: str, threshold: float, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(a, b, common, either) with a < b: all pairs whose Jaccard similarity reaches the threshold, exactly.
+
+    Rows with equal sets are one class, tied to its smallest id. Two sets that
+    reach the threshold share one of their rarest shingles: of a set of n, the
+    n - ceil(threshold n) + 1 that the fewest sets have. Only those are joined,
+    so a line that every text has makes no pair; candidates are verified on the
+    whole sets.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("similarity_threshold must lie in (0, 1]")
+    sets = shingle_sets(df, text, id_col, words)
+    classes = sets.groupBy("members").agg(F.min("id").alias("a"))
+    copies = sets.join(classes, "members").where("id != a").select(
+        "a", F.col("id").alias("b"), F.size("members").alias("common"), F.size("members").alias("either")
+    )
+    flat = classes.select("a", F.size("members").alias("n"), F.explode("members").alias("s"))
+    rare = F.row_number().over(Window.partitionBy("a").orderBy("df", "s"))
+    head = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    counted = flat.join(flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s")
+    # Shingles of one set alone are rarest but join with nothing: they only shorten the rest of the head.
+    alone = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("a").alias("a")).where("df = 1").groupBy("a").agg(
+        F.count(F.lit(1)).alias("alone")
+    )
+    heads = counted.where("df > 1").withColumn("place", rare).join(alone, "a", "left").where(
+        F.col("place") + F.coalesce("alone", F.lit(0)) <= head
+    ).select("s", "a", "n")
+    other = heads.select("s", F.col("a").alias("b"), F.col("n").alias("m"))
+    fits = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
+    candidates = heads.join(other, "s").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct()
+    one, two = classes.withColumnRenamed("members", "of_a"), classes.select(F.col("a").alias("b"), F.col("members").alias("of_b"))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    verified = candidates.join(one, "a").join(two, "b").select(
+        "a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b") - common).alias("either")
+    )
+    return verified.where(F.col("common") >= F.lit(threshold) * F.col("either") - 1e-9).unionByName(copies)
+
+
+def near_dedup(df: DataFrame, text: str, id_col: str, similarity_threshold: float = 0.9) -> DataFrame:
+    """One row of each group of similar texts, the one with the smallest id; ids must be unique.
+
+    Groups are connected over the pairs of :func:`similar_pairs`; texts without
+    words are similar to nothing.
     """
-    if not 0 <= similarity_threshold <= 1:
-        raise ValueError("similarity_threshold must lie in [0, 1]")
-    return exact_dedup(df, text, order_by)
+    labels = least_reachable(similar_pairs(df, text, id_col, similarity_threshold))
+    dropped = labels.where("id != label").select(F.col("id").alias(id_col))
+    return df.join(dropped, id_col, "left_anti")
 
 
 def kept_ids(df: DataFrame, text: str, id_col: str) -> DataFrame:

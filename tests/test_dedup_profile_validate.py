@@ -19,11 +19,35 @@ def test_exact_dedup_keeps_the_first_and_treats_nulls_as_equal(texts):
     kept = D.exact_dedup(texts(ROWS), "text", "id").orderBy("id").collect()
     assert [(r.id, r.text) for r in kept] == [(0, "a"), (1, None), (3, ""), (4, "b"), (6, "nan")]
     assert sorted(r.id for r in D.kept_ids(texts(ROWS), "text", "id").collect()) == [0, 1, 3, 4, 6]
-    assert D.near_dedup(texts(ROWS), "text", "id", 0.5).count() == 5
+    assert sorted(r.id for r in D.near_dedup(texts(ROWS), "text", "id", 0.5).collect()) == [0, 1, 3, 4, 5, 6]
     counts = D.dedup_counts(texts(ROWS), "text").first()
     assert tuple(counts) == (8, 5, 3)
 
 
+def test_similar_pairs_are_all_found_and_grouped(texts):
+    base = [f"w{k}" for k in range(40)]
+
+    def changed(*places):
+        return " ".join("x" if k in places else w for k, w in enumerate(base))
+
+    values = [changed(), changed(0), changed(0, 1), changed(0, 20), "w1 w2", "w1  w2", "", None, changed()]
+    sets = [{tuple(v.split()[k : k + 5]) for k in range(max(1, len(v.split()) - 4))} if v and v.split() else set() for v in values]
+    for threshold in (0.3, 0.6, 0.9):
+        near = {
+            (i, j) for i in range(9) for j in range(i + 1, 9)
+            if sets[i] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9
+        }
+        firsts = {i: min(j for j in range(9) if sets[j] == sets[i]) for i in range(9) if sets[i]}
+        pairs = {(r.a, r.b) for r in D.similar_pairs(texts(values), "text", "id", threshold).collect()}
+        assert {(i, j) for i, j in near if firsts[i] == i and firsts[j] == j} <= pairs <= near
+        root = list(range(9))
+        for _ in range(9):
+            for i, j in near:
+                root[i] = root[j] = min(root[i], root[j])
+        kept = sorted(r.id for r in D.near_dedup(texts(values), "text", "id", threshold).collect())
+        assert kept == [i for i in range(9) if root[i] == i]
+
+
 def test_a_hot_text_is_cut_before_the_shuffle(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     kept = D.exact_dedup(df, "text", "id")
