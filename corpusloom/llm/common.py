@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,28 @@ def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with equal integer ``keys``, of rows that come sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch.column(n).to_numpy() for n in keys]
+        if rest:
+            last = [rest[-1].column(n)[-1].as_py() for n in keys]
+            values = [np.concatenate([[v], x]) for v, x in zip(last, values, strict=True)]
+        starts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in values], axis=0)) + (0 if rest else 1)
+        begin = 0
+        for at in starts.tolist():
+            if rest or at > begin:
+                rest.append(batch.slice(begin, at - begin))
+                yield pa.Table.from_batches(rest)
+            rest, begin = [], at
+        rest.append(batch.slice(begin))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -73,13 +98,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(stars.select(F.col("component_id").alias("id"), "component_id").distinct())
 
 
+_SHARED: list[WordHashes] = []
+
+
 class WordHashes(dict):
     """Eight hash bytes of each word, remembered; emptied when it grows past ``limit`` words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         super().__init__()
         self.limit = limit
 
+    @classmethod
+    def shared(cls) -> WordHashes:
+        """The one of this process, so that what it remembers serves later tasks too."""
+        if not _SHARED:
+            _SHARED.append(cls())
+        return _SHARED[0]
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()

@@ -16,9 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, components, lower_words, mix, shingles, written
+from corpusloom.llm.common import WordHashes, components, lower_words, mix, runs_of, shingles, written
 
-STAR_ROUNDS = 3
+#: Buckets with more classes are compared in blocks of about this many.
+BLOCK = 1_024
 
 
 def _scatter(values: np.ndarray) -> np.ndarray:
@@ -54,7 +55,7 @@ def _digest(found: np.ndarray) -> int | None:
 
 def _describe(words: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes.shared()
         for batch in batches:
             counts, digests, keys = [], [], []
             for text in batch.column(1).to_pylist():
@@ -72,7 +73,7 @@ def _describe(words: int, bands: int, rows: int) -> Callable:
 
 def _sets(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes.shared()
         for batch in batches:
             found = [np.unique(shingles(known.of(lower_words(t)), words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -83,6 +84,36 @@ def _sets(words: int) -> Callable:
     return run
 
 
+def _across(percent: int) -> Callable:
+    """Of the classes of a bucket (or of two blocks of it): a confirmed link for each pair of labels that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, ["key", "low", "high"]):
+            low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+            ids, label, side = (group.column(n).to_numpy() for n in ("id", "label", "part"))
+            lists = group.column("members").combine_chunks()
+            sizes = np.diff(lists.offsets.to_numpy())
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            terms, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            names, counts = np.unique(label, return_counts=True)
+            odd = np.flatnonzero(label != names[np.argmax(counts)])  # the pairs of two labels include one of these
+            marked, found = np.zeros(len(terms), np.int64), {}
+            for k in odd.tolist():
+                marked[place[starts[k] : starts[k] + sizes[k]]] = 1
+                common = np.add.reduceat(marked[place], starts)
+                marked[place[starts[k] : starts[k] + sizes[k]]] = 0
+                fits = (common * 100 >= (sizes + sizes[k] - common) * percent) & (label != label[k])
+                if low != high:
+                    fits &= side != side[k]
+                for j in np.flatnonzero(fits).tolist():
+                    found.setdefault(tuple(sorted((label[k], label[j]))), (ids[k], ids[j]))
+            if found:
+                a, b = zip(*found.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("of_a"))
@@ -103,6 +134,7 @@ def minhash_dedup(
     bands: int = 32,
     rows: int = 4,
     row_column: str | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept, class_id, and ``row_column`` if given.
 
@@ -111,11 +143,11 @@ def minhash_dedup(
     shingles (a shorter text is one shingle). component_id is the smallest id
     reachable over links, kept marks that row.
 
-    Rows with equal sets form a class, represented by its smallest id. Within a
-    band's bucket every class is first compared with one leader, a different one
-    in each of a few rounds; then all classes of a bucket that are still in
-    different components are compared, so no link between components is lost
-    and a large group of near copies costs a few comparisons for each member.
+    Rows with equal sets form a class. Within a band's bucket every class is
+    first compared with one leader; then the classes of a bucket that are still
+    in different components are compared with each other, a bucket at a time and
+    in blocks, and one link of each pair of components is kept. So no link
+    between components is lost, and no pairs are written out.
     A pair at the threshold shares no band with probability below 1e-6 at the
     default and the registered settings.
 
@@ -155,29 +187,27 @@ def minhash_dedup(
     )
     tested = written(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = _confirmed(tested, sets, percent)
-    for turn in range(1, STAR_ROUNDS + 1):
-        labels = components(links)
-        labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("label"))
-        mixed = labelled.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min_by("id", F.xxhash64("label", F.lit(turn))).alias("leader"),
-            F.min_by("label", F.xxhash64("label", F.lit(turn))).alias("leader_label"),
-        ).where("low < high")
-        open_members = written(labelled.join(mixed, "key").select("key", "id", "label", "leader", "leader_label"), "open")
-        if turn < STAR_ROUNDS:
-            pairs = open_members.where("label != leader_label").select(
-                F.greatest("id", "leader").alias("b"), F.least("id", "leader").alias("a")
-            )
-        else:
-            one, other = open_members.select("key", "id", "label"), open_members.select(
-                "key", F.col("id").alias("other"), F.col("label").alias("other_label")
-            )
-            pairs = one.join(other, "key").where("id < other AND label != other_label").select(
-                F.col("other").alias("b"), F.col("id").alias("a")
-            )
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _confirmed(pairs, sets, percent)
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
+    labelled = members.join(components(links), "id", "left").select(
+        "key", "id", F.coalesce("component_id", "id").alias("label")
+    )
+    mixed = labelled.groupBy("key").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")
+    ).where("least < most")
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    entries = (
+        labelled.join(written(mixed.select("key", blocks.alias("blocks")), "mixed"), "key")
+        .withColumn("part", part)
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id", "label")
+        .join(sets, "id")
+    )
+    across = written(
+        entries.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        .mapInArrow(_across(percent), "a bigint, b bigint"),
+        "across",
+    )
+    links = links.unionByName(across)
     labels = classes.select("id", "first_doc").join(components(links), "id", "left").withColumn(
         "label", F.coalesce("component_id", "id")
     )
