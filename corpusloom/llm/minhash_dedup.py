@@ -179,7 +179,8 @@ def minhash_dedup(
     members = written(keys.join(shared, "key").select("key", "id", "leader", "first_doc"), "buckets")
     wanted = written(members.select("id", "first_doc").distinct(), "candidates")
     sets = written(
-        source.join(wanted.select(F.col("first_doc").alias("doc")).distinct(), "doc", "left_semi")
+        # The candidates grow with the table, so they are merged at every size and never broadcast.
+        source.join(wanted.select(F.col("first_doc").alias("doc")).distinct().hint("merge"), "doc", "left_semi")
         .mapInArrow(_sets(words), "id bigint, members array<bigint>")
         .join(wanted.select("id"), "id", "left_semi")
         .dropDuplicates(["id"]),
@@ -190,9 +191,15 @@ def minhash_dedup(
     labelled = members.join(components(links), "id", "left").select(
         "key", "id", F.coalesce("component_id", "id").alias("label")
     )
-    mixed = labelled.groupBy("key").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")
-    ).where("least < most")
+    # Close texts share many bands: of buckets with the same classes, one is enough.
+    mixed = (
+        labelled.groupBy("key")
+        .agg(
+            F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64("id", F.lit(11))).alias("two"),
+        )
+        .where("least < most").groupBy("n", "one", "two").agg(F.min("key").alias("key"))
+    )
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     entries = (
