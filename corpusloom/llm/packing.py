@@ -25,9 +25,10 @@ WINDOW = 1024
 END_ID = 0
 #: A sequence of left-over remainders may have this share of padding; else it is cut at powers of two.
 PADDING = 0.02
-UNITS = 500_000
+UNITS = 1_500_000
 
 _UNIT = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+_TAILED = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)")
 #: What a text without runs of white space, and with no white space but blanks and line ends, does not hold.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\x00")
 #: White space that only some of the splitters' rules count as such: such texts are encoded whole.
@@ -61,7 +62,8 @@ class Encoder(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= UNITS:
             self.clear()
-        value = self[unit] = self.whole(unit)
+        parts = _TAILED.fullmatch(unit)  # letters and the marks after them never share an id
+        value = self[unit] = self[parts[1]] + self[parts[2]] if parts else self.whole(unit)
         return value
 
     def whole(self, text: str) -> bytes:
