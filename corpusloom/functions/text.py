@@ -55,10 +55,8 @@ _EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 # Patterns for personal data, in reporting order.
 EMAIL = rf"{_EDGE}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_EDGE}"
 _D = r"[0-9[\x{80}-\x{10FFFF}&&\p{Nd}]]"
-# A first digit with no word character before it; looked back for at digits only.
-_FIRST_D = rf"{_D}(?<!{_W}{_D})"
-PHONE = rf"{_FIRST_D}{_D}{{2}}[-.]?{_D}{{3}}[-.]?{_D}{{4}}(?!{_W})"
-SSN = rf"{_FIRST_D}{_D}{{2}}-{_D}{{2}}-{_D}{{4}}(?!{_W})"
+PHONE = rf"{_EDGE}{_D}{{3}}[-.]?{_D}{{3}}[-.]?{_D}{{4}}{_EDGE}"
+SSN = rf"{_EDGE}{_D}{{3}}-{_D}{{2}}-{_D}{{4}}{_EDGE}"
 URL = rf"https?://{NOT_WS}+"
 
 # Ranges in which every character, alone or next to any other

@@ -27,6 +27,7 @@ def detect_task(df: DataFrame, columns: str = "columns") -> DataFrame:
         return first(lambda c: F.contains(F.lower(c), F.lit(part)))
 
     last = F.coalesce(F.get(names, F.size(names) - 1), F.lit("text"))
+    # Column names, task names, confidences and reasons, in the order of the rules.
     rules = [
         (has("label", "class", "category"), "classification", 0.7,
          named("label", "class", "category"), "Dataset has label/class column"),

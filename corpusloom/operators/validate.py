@@ -162,6 +162,7 @@ def validation_report(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataF
         )
     )
     found = F.size(pii_types) > 0
+    # The wording of the warnings.
     warnings = present(
         [
             F.when(missing > 0, F.concat(missing.cast("string"), F.lit(" missing values in text column"))),

@@ -283,6 +283,7 @@ def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.select("improved", "total", "best_metric", rounded("best_percent"))
 
 
+# Headings and layout of the report.
 @query(
     f"""
     SELECT '# Model Comparison Report' || chr(10) || chr(10) || '## Metrics Comparison' || chr(10) || chr(10)
@@ -361,6 +362,7 @@ def _conversation_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_seen.groupBy("conv_id").agg(ordered["name"].alias("columns"))
 
 
+# Column words, confidences and reasons of the task rules.
 @query(
     """
     WITH r AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY conv_id, role),

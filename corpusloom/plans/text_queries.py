@@ -25,6 +25,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- cleaning ---------------------------------------------------------------
 
+# Patterns of cleaning, as the SQL engine writes them.
 _CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 _URL = r"https?://[^\s\x0B\x1C-\x1F]+"

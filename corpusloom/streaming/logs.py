@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -46,28 +47,33 @@ def publish(
     return writer.start()
 
 
-def append_result(stream: DataFrame, label: str) -> DataFrame:
-    """Run over what is there now in append mode; the appended rows as a table."""
+def append_result(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
+    """Run over what is there now in append mode; all rows appended so far as a table.
+
+    ``root`` holds rows and position: a later call with the same folder goes on
+    where the earlier one stopped. Without it, a new folder is used.
+    """
     spark = stream.sparkSession
-    root = scratch_path(spark, label)
+    root = root or scratch_path(spark, label)
     publish(stream, os.path.join(root, "rows"), os.path.join(root, "state"), "parquet").awaitTermination()
     return spark.read.schema(stream.schema).parquet(os.path.join(root, "rows"))
 
 
-def snapshot_result(stream: DataFrame, label: str) -> DataFrame:
+def snapshot_result(stream: DataFrame, label: str, root: str | None = None) -> DataFrame:
     """Run an aggregate over what is there now; its full state as a table.
 
     Two folders take turns, so the last whole snapshot stays while the next one
-    is written, and a long stream does not pile up old ones.
+    is written, and a long stream does not pile up old ones. With ``root``, a
+    later call goes on where the earlier one stopped, and returns the last
+    snapshot if nothing is new.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, label)
-    finished: list[str] = []
+    root = root or scratch_path(spark, label)
+    last = os.path.join(root, "last")
 
     def write(state: DataFrame, batch_id: int) -> None:
-        path = os.path.join(root, f"snapshot-{batch_id % 2}")
-        state.write.mode("overwrite").parquet(path)
-        finished.append(path)
+        state.write.mode("overwrite").parquet(os.path.join(root, f"snapshot-{batch_id % 2}"))
+        spark.range(batch_id, batch_id + 1).coalesce(1).write.mode("overwrite").parquet(last)
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -77,6 +83,8 @@ def snapshot_result(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    if not finished:
+    try:
+        batch_id = spark.read.parquet(last).first().id
+    except AnalysisException:  # no micro-batch so far
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(finished[-1])
+    return spark.read.schema(stream.schema).parquet(os.path.join(root, f"snapshot-{batch_id % 2}"))

@@ -212,3 +212,29 @@ def test_scratch_folder_is_the_one_the_cluster_names(spark):
     _Cluster.conf.values = {"spark.checkpoint.dir": "hdfs://shared/points/"}
     assert scratch_path(_Cluster, "x").startswith("hdfs://shared/points/x-")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from corpusloom.streaming import logs as S
+
+    schema = T.StructType([T.StructField("run", T.StringType()), T.StructField("n", T.LongType())])
+    folder, root = tmp_path / "in", str(tmp_path / "root")
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    def totals():
+        stream = S.read_events(spark, str(folder), schema, files_per_batch=1)
+        return {r.run: r.n for r in S.snapshot_result(stream.groupBy("run").sum("n").toDF("run", "n"), "t", f"{root}/sums").collect()}
+
+    def rows():
+        return S.append_result(S.read_events(spark, str(folder), schema, files_per_batch=1), "t", f"{root}/rows").count()
+
+    add([("x", 1), ("y", 2)])
+    add([("x", 3)])
+    assert totals() == {"x": 4, "y": 2} and rows() == 3
+    assert totals() == {"x": 4, "y": 2} and rows() == 3  # nothing new
+    add([("y", 5)])
+    assert totals() == {"x": 4, "y": 7} and rows() == 4
