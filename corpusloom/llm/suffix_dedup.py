@@ -23,7 +23,8 @@ from corpusloom.llm.common import mix, written
 LENGTH = 200
 GRAM = 64
 #: Anchors with more different segments are counted string by string, over all tasks.
-ARRAY_SEGMENTS = 256
+#: A segment has a few hundred bytes, so an array has about one million suffixes at most.
+ARRAY_SEGMENTS = 4_096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -74,8 +75,8 @@ def anchored(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     return hashes[place].view(np.int64), segment.view(np.int64), low, high
 
 
-def suffix_array(texts: list[bytes]) -> list[tuple[int, int]]:
-    """Sorted suffixes of all texts as (text, start), by linear grouping.
+def suffix_array(texts: list[bytes]) -> list[int]:
+    """Sorted suffixes of all texts, each as text number * 2^32 + start, by linear grouping.
 
     A suffix belongs to the group of its longest Lyndon prefix, which ends at the
     next smaller suffix; the previous smaller suffix is its pointer. Groups hold
@@ -86,12 +87,13 @@ def suffix_array(texts: list[bytes]) -> list[tuple[int, int]]:
     the texts.
     """
     groups: dict[bytes, int] = {}
-    owner: list[list[bytes]] = []
+    sizes: list[int] = []
+    owner: list[list[int]] = []
     before: list[list[int]] = []
     for text in texts:
         n = len(text)
         tails = [text[i:] for i in range(n)]
-        smaller, pointer, words = [n] * n, [-1] * n, [b""] * n
+        smaller, pointer, words = [n] * n, [-1] * n, [0] * n
         stack: list[int] = []  # suffixes without a next smaller one yet, each smaller than the one above it
         for i in range(n):
             tail = tails[i]
@@ -101,15 +103,17 @@ def suffix_array(texts: list[bytes]) -> list[tuple[int, int]]:
                 pointer[i] = stack[-1]
             stack.append(i)
         for i in range(n):
-            word = words[i] = text[i : smaller[i]]
-            groups[word] = groups.get(word, 0) + 1
+            word = words[i] = groups.setdefault(text[i : smaller[i]], len(sizes))
+            if word == len(sizes):
+                sizes.append(0)
+            sizes[word] += 1
         owner.append(words)
         before.append(pointer)
-    front, at = {}, 0
-    for word in sorted(groups):
-        front[word] = at
-        at += groups[word]
-    array: list[tuple[int, int] | None] = [None] * at
+    front, at = [0] * len(sizes), 0
+    for text in sorted(groups):
+        front[groups[text]] = at
+        at += sizes[groups[text]]
+    array = [0] * at
     placed = [bytearray(len(t)) for t in texts]
 
     def put(k: int, i: int) -> None:
@@ -117,14 +121,14 @@ def suffix_array(texts: list[bytes]) -> list[tuple[int, int]]:
         while i >= 0 and not flags[i]:
             flags[i] = 1
             word = words[i]
-            array[front[word]] = (k, i)
+            array[front[word]] = k << 32 | i
             front[word] += 1
             i = pointer[i]
 
     for k, text in enumerate(texts):
         put(k, len(text) - 1)  # the empty suffix comes before all others
     for place in range(at):
-        k, i = array[place]
+        k, i = array[place] >> 32, array[place] & 0xFFFFFFFF
         put(k, i - 1)
     return array
 
@@ -134,7 +138,8 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     array = suffix_array(segments)
     hit = [np.zeros(len(s), bool) for s in segments]
     last, last_key = None, b""
-    for k, i in array:
+    for place in array:
+        k, i = place >> 32, place & 0xFFFFFFFF
         key = segments[k][i : i + length]
         if len(key) == length:
             if key == last_key:

@@ -198,7 +198,7 @@ def test_suffix_array_and_removal(docs, rows, nothing):
     r = random.Random(3)
     for _ in range(100):
         texts = [bytes(r.choice(b"\1\2\3") for _ in range(r.randint(0, 14))) for _ in range(r.randint(1, 5))]
-        got = [texts[k][i:] for k, i in suffix_dedup.suffix_array(texts)]
+        got = [texts[x >> 32][x & 0xFFFFFFFF :] for x in suffix_dedup.suffix_array(texts)]
         assert got == sorted(t[i:] for t in texts for i in range(len(t)))
     data = [(x[1] or "").encode() for x in rows]
     for bound in (256, 0):  # 0: every anchor is counted string by string
