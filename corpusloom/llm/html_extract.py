@@ -139,41 +139,43 @@ class Fold:
         self.label, self.tag, self.bad, self.children, self.text, self.number = label, tag, bad, [], [], 0
 
 
-def _own_text(node: Node, out: list[str]) -> None:
-    for child in node.children:
+def _own(node: Node, text: list[str], below: list[Node]) -> None:
+    """The text of a block and the blocks in it, also through inline elements."""
+    stack: list = list(reversed(node.children))
+    while stack:
+        child = stack.pop()
         if isinstance(child, str):
-            out.append(child)
+            text.append(child)
         elif child.tag in INLINE and not unwanted(child, True):
-            _own_text(child, out)
+            stack.extend(reversed(child.children))
+        else:
+            below.append(child)
 
 
-def _blocks_below(node: Node, out: list[Node]) -> None:
-    for child in node.children:
-        if not isinstance(child, str):
-            if child.tag in INLINE and not unwanted(child, True):
-                _blocks_below(child, out)
-            else:
-                out.append(child)
-
-
-def fold(members: list[Node], inside: bool = False, bad: bool = False, depth: int = 0) -> Fold:
-    first = members[0]
-    inside = inside or first.tag in ("article", "main")
-    out = Fold(first.tag + "." + ".".join(sorted(first.marks)), first.tag, bad or unwanted(first, inside))
-    below: list[Node] = []
-    for node in members:
-        node.fold = out
-        _own_text(node, out.text)
-        if not out.bad and depth < 200:
-            _blocks_below(node, below)
-    k = 0
-    while k < len(below):
-        run = k
-        while run < len(below) and (below[run].tag, below[run].marks) == (below[k].tag, below[k].marks):
-            run += 1
-        out.children.append(fold(below[k:run], inside, out.bad, depth + 1))
-        k = run
-    return out
+def fold(members: list[Node]) -> Fold:
+    top = Fold("", "", False)
+    stack = [(top, members, False, False)]
+    while stack:
+        above, members, inside, bad = stack.pop()
+        first = members[0]
+        inside = inside or first.tag in ("article", "main")
+        out = Fold(first.tag + "." + ".".join(sorted(first.marks)), first.tag, bad or unwanted(first, inside))
+        above.children.append(out)
+        below: list[Node] = []
+        for node in members:
+            node.fold = out
+            _own(node, out.text, below)
+        if out.bad:
+            continue
+        runs, k = [], 0
+        while k < len(below):
+            run = k
+            while run < len(below) and (below[run].tag, below[run].marks) == (below[k].tag, below[k].marks):
+                run += 1
+            runs.append((out, below[k:run], inside, out.bad))
+            k = run
+        stack.extend(reversed(runs))
+    return top.children[0]
 
 
 def listed(tree: Fold) -> list[Fold]:
@@ -187,7 +189,19 @@ def listed(tree: Fold) -> list[Fold]:
 
 
 def skeleton(tree: Fold) -> str:
-    return tree.label + ("(" + " ".join(map(skeleton, tree.children)) + ")" if tree.children else "")
+    out, stack = [], [tree]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        out.append(item.label)
+        if item.children:
+            stack.append(")")
+            for k, child in enumerate(reversed(item.children)):
+                stack += [" ", child] if k else [child]
+            stack.append("(")
+    return "".join(out)
 
 
 def unfolded(text: str) -> Fold:
@@ -208,20 +222,21 @@ def simple_tree_matching(one: Fold, other: Fold) -> dict[int, int]:
     """Largest matching of two ordered trees that keeps parents and order: numbers of one to numbers of other."""
     known: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def match(a: Fold, b: Fold) -> tuple[int, list]:
-        key = (a.number, b.number)
-        if key in known:
-            return known[key]
-        if a.label != b.label:
-            known[key] = (0, [])
-            return known[key]
+    stack = [(one, other, False)]
+    while stack:
+        a, b, ready = stack.pop()
+        if a.label != b.label or (a.number, b.number) in known:
+            continue
+        if not ready:
+            stack.append((a, b, True))
+            stack.extend((c, d, False) for c in a.children for d in b.children if c.label == d.label)
+            continue
         m, n = len(a.children), len(b.children)
         best = [[0] * (n + 1) for _ in range(m + 1)]
         for i in range(1, m + 1):
             for j in range(1, n + 1):
-                best[i][j] = max(
-                    best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(a.children[i - 1], b.children[j - 1])[0]
-                )
+                below = known.get((a.children[i - 1].number, b.children[j - 1].number), (0,))[0]
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + below)
         pairs, i, j = [], m, n
         while i and j:
             if best[i][j] == best[i - 1][j]:
@@ -231,10 +246,7 @@ def simple_tree_matching(one: Fold, other: Fold) -> dict[int, int]:
             else:
                 pairs.append((a.children[i - 1], b.children[j - 1]))
                 i, j = i - 1, j - 1
-        known[key] = (best[m][n] + 1, pairs)
-        return known[key]
-
-    match(one, other)
+        known[a.number, b.number] = (best[m][n] + 1, pairs)
     out, todo = {}, [(one, other)] if one.label == other.label else []
     while todo:
         a, b = todo.pop()
@@ -257,14 +269,19 @@ def aligned(tree: Fold, reference: str) -> dict[int, int]:
     return _ALIGNED[key]
 
 
-def _mass(node: Fold, mass: dict[int, int]) -> int:
-    return 0 if node.bad else mass.get(node.number, 0) + sum(_mass(c, mass) for c in node.children)
+def _masses(tree: Fold, mass: dict[int, int]) -> dict[int, int]:
+    """Of every node, the varying text in it and below it that is not in unwanted elements."""
+    out: dict[int, int] = {}
+    for node in reversed(listed(tree)):
+        out[node.number] = 0 if node.bad else mass.get(node.number, 0) + sum(out[c.number] for c in node.children)
+    return out
 
 
 def region(tree: Fold, mass: dict[int, int]) -> list[int]:
     """Numbers of the nodes that hold the main text: the articles or main elements with enough of the
     varying text, or else the lowest node that holds all of it."""
-    total = _mass(tree, mass)
+    masses = _masses(tree, mass)
+    total = masses[tree.number]
     tops, stack = [], [tree]
     while stack:
         node = stack.pop()
@@ -274,11 +291,11 @@ def region(tree: Fold, mass: dict[int, int]) -> list[int]:
             tops.append(node)
         else:
             stack.extend(reversed(node.children))
-    if tops and sum(_mass(t, mass) for t in tops) >= REGION_SHARE * total:
+    if tops and sum(masses[t.number] for t in tops) >= REGION_SHARE * total:
         return [t.number for t in tops]
     node = tree
     while True:
-        full = [c for c in node.children if _mass(c, mass)]
+        full = [c for c in node.children if masses[c.number]]
         if len(full) != 1 or mass.get(node.number, 0) or full[0].tag in ("p", "ul", "ol", "table", "pre", "blockquote"):
             return [node.number]
         node = full[0]
