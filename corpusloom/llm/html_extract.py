@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
 The DOM tree of every page is folded (runs of like siblings become one node) and
-aligned by simple tree matching with a reference page of the same host. Over all
-pages of the host, a template node whose text never changes is part of the
-template; nodes whose text varies are slots. The content region is the template
+aligned by simple tree matching with the merged tree of all pages of the same host.
+Over all pages of the host, and over its pages of one layout (the same folded tree),
+a node whose text never changes is part of the template; nodes whose text varies
+are slots. The content region is the template
 node that holds the varying text outside menus, adverts and the like; the text of
 its slots is the page's content.
 """
@@ -255,6 +256,23 @@ def simple_tree_matching(one: Fold, other: Fold) -> dict[int, int]:
     return out
 
 
+def merge(base: Fold, other: Fold) -> None:
+    """Adds to ``base`` the nodes of ``other`` that match none of its own, after the siblings before them."""
+    nodes = listed(base)
+    own = listed(other)
+    found = {number: nodes[k] for number, k in simple_tree_matching(other, base).items()}
+    for node in own:
+        if node.number not in found:
+            continue
+        into, at = found[node.number].children, 0
+        for child in node.children:
+            if child.number in found:
+                at = next(k for k, c in enumerate(into) if c is found[child.number]) + 1
+            else:
+                into.insert(at, child)
+                at += 1
+
+
 _ALIGNED: dict[tuple[str, str], dict[int, int]] = {}
 
 
@@ -350,43 +368,77 @@ def _texts(nodes: list[Fold]) -> list[str]:
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [skeleton(fold([parse(h or "")])) for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "reference"])
+        pairs = zip(*(batch.column(n).to_pylist() for n in ("host", "html")), strict=True)
+        found = sorted({(host, skeleton(fold([parse(source)]))) for host, source in pairs if source})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[k] for f in found], pa.string()) for k in range(2)], ["host", "reference"]
+        )
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The merged tree of each host, of rows that come sorted by host and tree."""
+    host, tree = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([skeleton(tree)], pa.string())], ["host", "reference"])
+
+    for batch in batches:
+        for name, reference in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if tree is not None and name == host:
+                merge(tree, unfolded(reference))
+                continue
+            if tree is not None:
+                yield row()
+            host, tree = name, unfolded(reference)
+    if tree is not None:
+        yield row()
+
+
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the hash of the page's folded tree."""
+    for batch in batches:
+        found = [_hash(skeleton(fold([parse(source or "")]))) for source in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "layout"])
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the batch's pages show of each template node: pages, least and greatest text hash, characters."""
+    """What the batch's pages show of each node of a layout (or of the host's merged tree: layout -1):
+    pages, least and greatest text hash, least and greatest page hash."""
     for batch in batches:
-        seen: dict[tuple[str, int], list[int]] = {}
+        seen: dict[tuple[str, int, int], list[int]] = {}
         for host, source, reference in zip(*(batch.column(n).to_pylist() for n in ("host", "html", "reference")), strict=True):
             tree = fold([parse(source or "")])
             nodes = listed(tree)
-            match, page = aligned(tree, reference), _hash(source or "")
+            match, page, layout = aligned(tree, reference), _hash(source or ""), _hash(skeleton(tree))
             for node, text in zip(nodes, _texts(nodes), strict=True):
-                if node.number in match and text and not node.bad:
-                    value = _hash(text)
-                    row = seen.setdefault((host, match[node.number]), [0, value, value, 0, page, page])
+                if not text or node.bad:
+                    continue
+                value = _hash(text)
+                for key in ((host, -1, match.get(node.number)), (host, layout, node.number)):
+                    if key[2] is None:
+                        continue
+                    row = seen.setdefault(key, [0, value, value, page, page])
                     row[0] += 1
-                    row[1], row[2], row[3] = min(row[1], value), max(row[2], value), row[3] + len(text)
-                    row[4], row[5] = min(row[4], page), max(row[5], page)
+                    row[1], row[2] = min(row[1], value), max(row[2], value)
+                    row[3], row[4] = min(row[3], page), max(row[4], page)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64())]
-            + [pa.array([v[c] for v in seen.values()], pa.int64()) for c in range(6)],
-            ["host", "node", "pages", "low", "high", "chars", "first_page", "last_page"],
+            [pa.array([k[0] for k in seen], pa.string())] + [pa.array([k[c] for k in seen], pa.int64()) for c in (1, 2)]
+            + [pa.array([v[c] for v in seen.values()], pa.int64()) for c in range(5)],
+            ["host", "layout", "node", "pages", "low", "high", "first_page", "last_page"],
         )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        columns = (batch.column(n).to_pylist() for n in ("html", "reference", "constant"))
-        for source, reference, constant in zip(*columns, strict=True):
+        columns = (batch.column(n).to_pylist() for n in ("html", "reference", "constant", "own"))
+        for source, reference, constant, own in zip(*columns, strict=True):
             root = parse(source or "")
             tree = fold([root])
             nodes = listed(tree)
             match = aligned(tree, reference) if reference else {}
             fixed = set(constant or ())
-            template = {n for n, r in match.items() if r in fixed}
+            template = {n for n, r in match.items() if r in fixed} | set(own or ())
             mass = {n.number: len(t) for n, t in zip(nodes, _texts(nodes), strict=True) if t and n.number not in template}
             texts.append(content(root, nodes, set(region(tree, mass)), template))
         yield pa.RecordBatch.from_arrays(
@@ -398,11 +450,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """One row per input row: page_id, url, text (empty if none), n_chars (code points).
 
     A host is the lower-cased name in the url (empty for a null url or one
-    without a host). Its reference is the page with the least hash of its html;
-    every page of the host is aligned with it, and what the pages show of each
-    template node is added up before the shuffle, so a host with a third of all
-    pages costs one row per batch and node. A node's text is template when at
-    least ``support`` pages that differ elsewhere all have it.
+    without a host). The folded trees of its pages are merged, first within
+    tasks and then by host; every page is aligned with the merged tree, and what
+    the pages show of each of its nodes, and of each node of their own layout,
+    is added up before the shuffle, so a host with a third of all pages costs
+    one row per batch and node. A node's text is template when at least
+    ``support`` pages that differ elsewhere all have it: all pages of the host
+    that have the node, or all pages of the layout.
 
     Null and empty html give an empty text. Repeated rows are pages of their
     own. An empty table gives an empty result. Other columns are not read.
@@ -412,29 +466,35 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"), host.alias("host")
     )
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    references = written(
-        rows.groupBy("host")
-        .agg(F.min_by("html", F.xxhash64("html")).alias("html"))
-        .mapInArrow(_skeletons, "host string, reference string"),
-        "references",
-    )
-    names = ("pages", "low", "high", "chars", "first_page", "last_page")
+    tree = "host string, reference string"
+    skeletons = written(rows.select("host", "html").mapInArrow(_skeletons, tree).distinct(), "skeletons")
+
+    def merged(trees: DataFrame) -> DataFrame:
+        return trees.sortWithinPartitions("host", "reference").mapInArrow(_merged, tree)
+
+    # First in parts chosen by the tree, so that the result does not depend on the order of the rows.
+    references = written(merged(merged(skeletons.repartition("host", "reference")).repartition("host")), "references")
+    names = ("layout", "node", "pages", "low", "high", "first_page", "last_page")
     observed = (
         rows.join(references, "host")
         .select("host", "html", "reference")
-        .mapInArrow(_observe, "host string, node bigint, " + ", ".join(f"{n} bigint" for n in names))
-        .groupBy("host", "node")
+        .mapInArrow(_observe, "host string, " + ", ".join(f"{n} bigint" for n in names))
+        .groupBy("host", "layout", "node")
         .agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"),
              F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"))
     )
-    constant = (
+    constant = written(
         observed.where((F.col("low") == F.col("high")) & (F.col("pages") >= support) & (F.col("first_page") != F.col("last_page")))
-        .groupBy("host").agg(F.collect_list("node").alias("constant"))  # at most the nodes of one page
+        .groupBy("host", "layout").agg(F.collect_list("node").alias("constant")),  # at most the nodes of one tree
+        "constant",
     )
-    wrappers = written(references.join(constant, "host", "left"), "wrappers")
+    wrappers = written(references.join(constant.where("layout = -1").drop("layout"), "host", "left"), "wrappers")
+    laid_out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", layout bigint"
     out = (
-        rows.join(wrappers, "host", "left")
-        .select("page_id", "url", "html", "reference", "constant")
+        rows.mapInArrow(_layouts, laid_out)
+        .join(wrappers, "host", "left")
+        .join(constant.where("layout <> -1").withColumnRenamed("constant", "own"), ["host", "layout"], "left")
+        .select("page_id", "url", "html", "reference", "constant", "own")
         .mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     )
     return out.select(

@@ -25,3 +25,26 @@ def test_deep_pages_keep_their_text(texts_of):
         ("http://a.x/4", "<body>" + "<font><a>" * deep + "linked <div>block words</div> end"),
     ]
     assert texts_of(pages) == ["inner words\n\nlast words", "unclosed words", "bold words", "linked\n\nblock words\n\nend"]
+
+
+def test_every_layout_of_a_host_has_its_template(texts_of):
+    """Unmarked boilerplate that only pages of one layout have, an error page and an empty one beside them."""
+    news = [f"<body><h1>n{k}</h1><div class=x><p>news {k} text</p></div><div class=foot>All news reserved</div>" for k in range(8)]
+    shop = [f"<body><section><h2>s{k}</h2><p>shop {k} text</p></section><section class=legal>Prices with tax</section>" for k in range(8)]
+    pages = [("http://h.x/a", p) for p in [*news, *shop, "", None, "<body><em>error</em>"]]
+    got = texts_of(pages)
+    assert got[:8] == [f"n{k}\n\nnews {k} text" for k in range(8)]
+    assert got[8:16] == [f"s{k}\n\nshop {k} text" for k in range(8)]
+    assert got[16:] == ["", "", "error"]
+
+
+def test_a_block_in_pages_of_many_layouts_is_template(texts_of):
+    pages = [f"<body>{''.join(f'<div class=only{k}x{n}>part {k} {n}</div>' for n in range(3))}<div class=foot>Same end</div>" for k in range(9)]
+    got = texts_of([("http://h.x/a", p) for p in pages])
+    assert got == ["\n\n".join(f"part {k} {n}" for n in range(3)) for k in range(9)]
+
+
+def test_merged_tree_holds_every_page():
+    one, other = html_extract.unfolded("a.(b.(x.) d.)"), html_extract.unfolded("a.(b.(y. x.) c. d.(z.))")
+    html_extract.merge(one, other)
+    assert html_extract.skeleton(one) == "a.(b.(y. x.) c. d.(z.))"
