@@ -58,6 +58,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def through_table(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` written to the scratch folder and read again; a lost executor re-reads them."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once per application.
 
