@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,3 +155,29 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def sql_word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+#: Bytes that separate terms become a space, A-Z become a-z, all others stay.
+_TERM_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
+)
+
+
+def terms_of(text: str | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and non-ASCII characters, with A-Z in lower case; null has none."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES).split()
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in pieces of about ``size`` bytes of the column ``text`` (a longer text is a piece of its own)."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        column = batch.column(text)
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(batch):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
