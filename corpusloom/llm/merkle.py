@@ -100,7 +100,7 @@ def proof_digest(*paths: bytes) -> str:
 
 
 _BLOCK_SCHEMA = "tree bigint, block bigint, position bigint, leaf binary, path binary, root binary, version_root binary"
-_DONE_SCHEMA = "tree bigint, leaf binary, subroot binary, root binary, path binary, proof_sha256 string, folded_root binary"
+_DONE_SCHEMA = "of string, leaf binary, subroot binary, root binary, path binary, proof_sha256 string, folded_root binary"
 
 
 def _names(schema: str) -> list[str]:
@@ -190,7 +190,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tops.append(known[key])
         yield pa.RecordBatch.from_arrays(
             [
-                *[batch.column(n) for n in ("tree", "leaf", "subroot", "root")],
+                *[batch.column(n) for n in ("of", "leaf", "subroot", "root")],
                 pa.array([a + b for a, b in zip(columns[0], columns[1], strict=True)], pa.binary()),
                 pa.array(proofs, pa.string()), pa.array(tops, pa.binary()), batch.column("name"),
             ],
@@ -242,21 +242,23 @@ def manifest(
         F.col("top").alias("digest"), *_unedited(),
     )
     joined, over = _forest(written(subroots, "subroots"), trees or 0, levels)
+    # One row per group: the way up from its root, and its name.
     by_tree = written(
-        joined.join(over, ["tree", "block"]).select(
-            F.col("position").alias("tree"), F.concat("path", "above").alias("over"), F.col("leaf").alias("subroot"), F.col("top").alias("root")
-        ),
+        joined.join(over, ["tree", "block"])
+        .select(F.col("position").alias("tree"), F.concat("path", "above").alias("over"), F.col("leaf").alias("subroot"), F.col("top").alias("root"))
+        .join(placed.where("position = 0").select("tree", "of"), "tree"),
         "group-paths",
     )
     # Per block of leaves: the whole way up from its root.
     ways = written(
-        above.join(by_tree, "tree").select("tree", "block", F.concat("above", "over").alias("above"), "subroot", "root"), "block-paths"
+        above.join(by_tree, "tree").select("tree", "block", F.concat("above", "over").alias("above"), "subroot", "root", "of"), "block-paths"
     )
     kind = placed.schema["name"].dataType.simpleString()
-    done = lowest.drop("root").join(ways, ["tree", "block"]).select(
-        "tree", "leaf", "path", "above", "version_root", "subroot", "root", "name"
-    ).mapInArrow(_finish, f"{_DONE_SCHEMA}, name {kind}")
-    groups = placed.where("position = 0").select("tree", "of")
-    return done.join(groups, "tree").select(
-        F.col("name").alias(order), F.col("of").alias(group), "leaf", "subroot", "root", "path", "proof_sha256", "folded_root"
+    return (
+        lowest.drop("root").join(ways, ["tree", "block"])
+        .select("leaf", "path", "above", "version_root", "subroot", "root", "of", "name")
+        .mapInArrow(_finish, f"{_DONE_SCHEMA}, name {kind}")
+        .select(
+            F.col("name").alias(order), F.col("of").alias(group), "leaf", "subroot", "root", "path", "proof_sha256", "folded_root"
+        )
     )
