@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.positions import free_name
 from corpusloom.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,15 +26,43 @@ def written(df: DataFrame, label: str) -> DataFrame:
     behind it.
     """
     path = scratch_path(df.sparkSession, label)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+_TEMPORARY: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside are deleted at the end.
+
+    For a caller that has written its own result by then (after the ``with``
+    begins to close, nothing may read those tables any more): see :func:`settled`.
+    """
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        configuration = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _TEMPORARY.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(configuration).delete(place, True)
+
+
+def settled(make: Callable[[], DataFrame], spark: SparkSession, label: str) -> DataFrame:
+    """The rows of ``make()`` as a written table; the tables written on the way are deleted."""
+    path = scratch_path(spark, label)
+    with temporary_tables(spark):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``docs`` written with a column that numbers its rows, and the name of that column."""
-    name = "row_"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "row_")
     return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
 
 
@@ -181,3 +211,51 @@ def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20)
             end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+_BASE, _SLICE = 0x9E3779B97F4A7C15, 1 << 20
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of ``_BASE`` and of its inverse modulo 2^64, kept for slices of the usual size."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    both = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        both.append(np.multiply.accumulate(factors))
+    if n <= 2 * _SLICE:
+        _POWERS[:] = both
+    return both[0], both[1]
+
+
+def hashed_terms(texts: list[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of all texts, as arrays: (bytes, begins, ends, hashes, terms per text).
+
+    ``begins`` and ``ends`` are places in ``bytes``, where separators are spaces.
+    The hash of a term is a polynomial over its bytes, from running sums, so no
+    term becomes an object. Equal terms have equal hashes; the converse is for
+    the caller to check.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass").translate(_TERM_BYTES) for t in texts]
+    data = b" ".join([*parts, b""])
+    begins, ends, hashes, at = [], [], [], 0
+    while at < len(data):
+        stop = len(data)
+        if stop - at > _SLICE:  # up to a separator, so that no term is cut
+            stop = data.rfind(b" ", at, at + _SLICE) + 1 or data.find(b" ", at + _SLICE) + 1
+        here = np.frombuffer(data, np.uint8, stop - at, at)
+        edges = np.flatnonzero(np.diff((here != 0x20).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        first, last = edges[::2], edges[1::2]
+        up, down = _powers(max(len(here), _SLICE))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((here.astype(np.uint64) + np.uint64(1)) * up[: len(here)])])
+        hashes.append(mix((sums[last] - sums[first]) * down[first]))
+        begins.append(first + at)
+        ends.append(last + at)
+        at = stop
+    nothing = np.zeros(0, np.int64)
+    begins, ends = np.concatenate([nothing, *begins]), np.concatenate([nothing, *ends])
+    upto = np.searchsorted(begins, np.cumsum([len(p) + 1 for p in parts], dtype=np.int64))
+    return data, begins, ends, np.concatenate([nothing.view(np.uint64), *hashes]), np.diff(upto, prepend=0)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, portions, shingles, terms_of, written
+from corpusloom.llm.common import hashed_terms, portions, shingles, written
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 4
@@ -45,18 +45,18 @@ def _windows(window: int, shingle: int) -> Callable:
     """(item, words, n, tokens): the windows of each item and the hashes of their shingles, by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes.shared()
         for batch in portions(batches, "text", 1 << 18):
             names, texts, sizes, tokens = [], [], [], []
             for name, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = terms_of(text)
-                if not words:
+                data, begins, ends, hashes, _ = hashed_terms([text])
+                count = len(hashes)
+                if not count:
                     continue
-                width, found = min(window, len(words)), shingles(known.of(words), shingle).view(np.int64)
-                per_window = width - min(shingle, len(words)) + 1
-                for k in range(len(words) - width + 1):
+                width, found = min(window, count), shingles(hashes, shingle).view(np.int64)
+                per_window = width - min(shingle, count) + 1
+                for k in range(count - width + 1):
                     names.append(name)
-                    texts.append(b" ".join(words[k : k + width]).decode("utf-8", "surrogatepass"))
+                    texts.append(_plain(data, begins[k], ends[k + width - 1]))
                     sizes.append(width)
                     tokens.append(found[k : k + per_window])
             yield pa.RecordBatch.from_arrays(
@@ -67,17 +67,19 @@ def _windows(window: int, shingle: int) -> Callable:
     return run
 
 
-def _hits(words: list[list[bytes]], widths: list[int], table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(width, places in the words of all texts, hashes) of the shingles that pass the filter and lie inside one text."""
-    known = WordHashes.shared()
-    flat = known.of([w for ws in words for w in ws])
-    counts = np.fromiter(map(len, words), np.int64, len(words))
-    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(flat))  # words of the text from here on
+def _plain(data: bytes, begin: int, end: int) -> str:
+    """The terms between two places, with one space between them."""
+    return b" ".join(data[begin:end].split()).decode("utf-8", "surrogatepass")
+
+
+def _hits(hashes: np.ndarray, counts: np.ndarray, widths: list[int], table: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, places in the terms of all texts, hashes) of the shingles that pass the filter and lie inside one text."""
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))  # terms of the text from here on
     for width in widths:
-        if len(flat) >= width:
-            hashes = shingles(flat, width)
-            places = np.flatnonzero(_passing(hashes, table) & (left[: len(hashes)] >= width))
-            yield width, places, hashes[places]
+        if len(hashes) >= width:
+            found = shingles(hashes, width)
+            places = np.flatnonzero(_passing(found, table) & (left[: len(found)] >= width))
+            yield width, places, found[places]
 
 
 def _counted(shared, widths: list[int]) -> Callable:
@@ -85,9 +87,9 @@ def _counted(shared, widths: list[int]) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            words = [terms_of(t) for t in batch.column("text").to_pylist()]
-            for _, _, hashes in _hits(words, widths, shared.value):
-                tokens, n = np.unique(hashes, return_counts=True)
+            _, _, _, hashes, counts = hashed_terms(batch.column("text").to_pylist())
+            for _, _, found in _hits(hashes, counts, widths, shared.value):
+                tokens, n = np.unique(found, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return run
@@ -104,20 +106,20 @@ def _located(shared, widths: list[int], window: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text"):
-            words = [terms_of(t) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([len(ws) for ws in words])
-            found: list[list] = [[] for _ in words]
-            for width, places, hashes in _hits(words, widths, shared.value):
-                owners = np.searchsorted(ends, places, side="right")
-                for k, place, token in zip(owners.tolist(), places.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                    own = words[k]
-                    place -= int(ends[k]) - len(own)
-                    lead = min(place, window - width)
-                    around = b" ".join(own[place - lead : place + window]).decode("utf-8", "surrogatepass")
-                    found[k].append({"token": token, "place": place, "lead": lead, "around": around})
+            data, begins, ends, hashes, counts = hashed_terms(batch.column("text").to_pylist())
+            upto = np.cumsum(counts)
+            found: list[list] = [[] for _ in counts]
+            for width, places, tokens in _hits(hashes, counts, widths, shared.value):
+                owners = np.searchsorted(upto, places, side="right")
+                first, last = upto[owners] - counts[owners], upto[owners] - 1  # terms of the text
+                lead = np.minimum(places - first, window - width)
+                left, right = begins[places - lead], ends[np.minimum(places + window - 1, last)]
+                rows = zip(owners, tokens.view(np.int64), places - first, lead, left, right, strict=True)
+                for k, token, place, before, a, b in rows:
+                    found[k].append({"token": int(token), "place": int(place), "lead": int(before), "around": _plain(data, a, b)})
             kind = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int64()), ("lead", pa.int64()), ("around", pa.string())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array([len(ws) for ws in words], pa.int64()), pa.array(found, kind), batch.column("id")],
+                [batch.column("row"), pa.array(counts), pa.array(found, kind), batch.column("id")],
                 ["row", "n_words", "found", "id"],
             )
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusloom.llm import embedding_dedup, html_extract
+from corpusloom.llm import common, embedding_dedup, html_extract
 
 
 def test_embedding_links(spark):
@@ -127,9 +127,31 @@ def test_stages_take_odd_rows_and_empty_tables(spark, place):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "no id", "en", "s", 5), (2, "", "en", None, 0),
             (2, "a b c", "en", "s", 5), (3, " ".join(["long"] * 30_000), "en", "s", 1)]
     name, stage = corpus_pipeline.STAGES[place]
-    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS row_", "'x' AS graded_", "2 AS id")
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS row_", "'x' AS graded", "2 AS id", "3 AS reading", "4 AS reading_", "5 AS graded_")
     out = stage(spark, docs, "/root/testdata/sf0.001")
     assert out.count() >= 0
     if place < 4:
-        assert set(DOCS.replace(",", "").split()[::2]) <= set(out.columns)
+        assert out.columns == docs.columns
     assert stage(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0
+
+
+def test_near_copies_without_ids_and_with_shared_ids(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (10, 50, 90)]
+    rows = [(None, near[0]), (7, near[1]), (7, near[2]), (3, near[0]), (None, "alone here"), (None, None), (9, "nothing like it at all")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(0, "alone here"), (0, ""), (3, near[0]), (9, rows[6][1])])
+
+
+def test_temporary_tables_go_and_results_stay(spark):
+    seen = []
+
+    def make():
+        middle = common.written(spark.range(10).toDF("n"), "middle")
+        seen.append(middle)
+        return middle.where("n > 4")
+
+    assert common.settled(make, spark, "kept").count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(seen[0].inputFiles()[0]).count()
