@@ -8,11 +8,16 @@ A run may be as long as it likes: nothing here gathers a run into one task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from corpusloom.operators.positions import with_positions
+from corpusloom.session import through_table
 
 RETENTION_DAYS = 7
 HISTORY_LIMIT = 1000
@@ -117,6 +122,69 @@ def retained(log: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFra
     return log.join(alive.select("run_id"), "run_id", "left_semi")
 
 
+_DAY_US = 24 * 3600 * 1_000_000
+_LIFE = "run_id string, first_us bigint, last_us bigint, events bigint"
+
+
+def _by_hour(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per run and hour of each batch of rows: its newest time, its range and its number of events."""
+    for rows in frames:
+        hours = rows.assign(hour=rows["ts"].dt.floor("h")).groupby(["run_id", "hour"], sort=False)
+        out = hours.agg(ts=("ts", "max"), first_us=("us", "min"), last_us=("us", "max"), events=("us", "size")).reset_index()
+        yield out[["run_id", "ts", "first_us", "last_us", "events"]]
+
+
+def _expire(days: int):
+    """Follows one run: closes a life when the next event, or the watermark, is more than ``days`` past its last event."""
+    limit = days * _DAY_US
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed: list[tuple] = []
+        if state.hasTimedOut:
+            closed.append((key[0], *state.get))
+            state.remove()
+        else:
+            hours = pd.concat(list(parts)).sort_values("first_us")
+            held = state.get if state.exists else None
+            for first, last, n in zip(hours["first_us"], hours["last_us"], hours["events"], strict=True):
+                if held is not None and first - held[1] > limit:
+                    closed.append((key[0], *held))
+                    held = None
+                held = (int(first), int(last), int(n)) if held is None else (min(held[0], int(first)), max(held[1], int(last)), held[2] + int(n))
+            due = (held[1] + limit) // 1000 + 1
+            if due <= state.getCurrentWatermarkMs():
+                closed.append((key[0], *held))
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(held)
+                state.setTimeoutTimestamp(due)
+        yield pd.DataFrame(closed, columns=["run_id", "first_us", "last_us", "events"])
+
+    return follow
+
+
+def expired_runs(log: DataFrame, days: int = RETENTION_DAYS, delay: str = "1 hour") -> DataFrame:
+    """Retention on a stream: (run_id, first_ts, last_ts, expired_at, events), once per life of a run.
+
+    A run expires as a whole ``days`` after its last event, and lives anew if an
+    event comes later. The state of a run is the range and number of its events,
+    with a timer at its expiry. Events are first reduced to one row per run and
+    hour where they are read, so a busy run sends few rows to its state. An hour
+    whose newest event is more than ``delay`` behind the newest of all is dropped.
+    """
+    rows = log.select(F.col("run_id").cast("string").alias("run_id"), "ts", F.unix_micros("ts").alias("us")).where("ts IS NOT NULL AND run_id IS NOT NULL")
+    hours = rows.mapInPandas(_by_hour, "run_id string, ts timestamp, first_us bigint, last_us bigint, events bigint")
+    lives = hours.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
+        _expire(days), _LIFE, "first_us bigint, last_us bigint, events bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    expired = F.timestamp_micros(F.col("last_us") + days * _DAY_US)
+    return lives.select(
+        "run_id", F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"),
+        expired.alias("expired_at"), "events",
+    )
+
+
 def training_metrics(log: DataFrame) -> DataFrame:
     """Metric events as typed columns; a missing epoch reads as 0. Works on streams."""
 
@@ -147,13 +215,16 @@ def histogram(
     events: DataFrame, value: str, bounds: Sequence[float] = LATENCY_BOUNDS, labels: Sequence[str] = ()
 ) -> DataFrame:
     """Cumulative buckets (labels…, le, n) with the infinite one last, and total sum. Works on streams."""
-    labels = list(labels)
-    v = F.col(value)
-    counts = events.groupBy(*labels).agg(
-        *[F.count_if(v <= F.lit(b)).alias(f"le_{i}") for i, b in enumerate(bounds)],
-        F.count(value).alias("le_all"),
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("sum"),
-    )
+    return histogram_rows(events.groupBy(*labels).agg(*_histogram_counts(value, bounds)), bounds, labels)
+
+
+def _histogram_counts(value: str, bounds: Sequence[float]) -> list[Column]:
+    counts = [F.count_if(F.col(value) <= F.lit(b)).alias(f"le_{i}") for i, b in enumerate(bounds)]
+    return [*counts, F.count(value).alias("le_all"), F.coalesce(F.sum(value), F.lit(0.0)).alias("sum")]
+
+
+def histogram_rows(counts: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS, labels: Sequence[str] = ()) -> DataFrame:
+    """One row per label set and bucket, from one row per label set."""
     entries = [
         F.struct(F.lit(str(b)).alias("le"), F.col(f"le_{i}").alias("n"), F.col("sum")) for i, b in enumerate(bounds)
     ]
@@ -169,6 +240,57 @@ def run_states(states: DataFrame) -> DataFrame:
     )
 
 
+def _per_bucket(events: DataFrame, labels: Sequence[str], width: str, delay: str, parts: Sequence[Column]) -> DataFrame:
+    watched = events.withWatermark("ts", delay) if events.isStreaming else events
+    return watched.groupBy(*labels, F.window("ts", width).alias("bucket")).agg(*parts)
+
+
+class Live:
+    """A figure per label set in two steps, so that a stream keeps little state.
+
+    ``parts`` sums the events up per label set and time bucket: only buckets that
+    the watermark has not closed are state. ``whole`` merges the buckets of a label
+    set, from the table that :func:`corpusloom.streaming.logs.live_result` keeps.
+    """
+
+    def __init__(self, labels: Sequence[str], parts: Sequence[Column], merged: Sequence[Column]):
+        self.labels, self._parts, self._merged = list(labels), list(parts), list(merged)
+        self.keys = [*self.labels, "bucket"]
+
+    def parts(self, events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
+        return _per_bucket(events, self.labels, width, delay, self._parts)
+
+    def whole(self, parts: DataFrame) -> DataFrame:
+        return parts.groupBy(*self.labels).agg(*self._merged)
+
+
+def live_gauge(labels: Sequence[str], value: str) -> Live:
+    """The latest value, as :func:`gauge`."""
+    last = F.max(F.struct("ts", "event_id", F.col(value).alias("value")))
+    return Live(labels, [last.alias("last")], [F.max("last").getField("value").alias("value")])
+
+
+def live_counter(labels: Sequence[str]) -> Live:
+    """The number of events, as :func:`counter`."""
+    return Live(labels, [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("total")])
+
+
+def live_histogram(value: str, bounds: Sequence[float] = LATENCY_BOUNDS, labels: Sequence[str] = ()) -> Live:
+    """Bucket counts and sum; :func:`histogram_rows` gives the rows of :func:`histogram`."""
+    parts = _histogram_counts(value, bounds)
+    names = [*[f"le_{i}" for i in range(len(bounds))], "le_all", "sum"]
+    return Live(labels, parts, [F.sum(n).alias(n) for n in names])
+
+
+def live_run_states() -> Live:
+    """The last state per run and agent, as :func:`run_states`."""
+    last = F.max(F.struct("ts", "event_id", "status", "error_code"))
+    return Live(
+        ["run_id", "agent"], [last.alias("last")],
+        [*[F.max("last").getField(n).alias(n) for n in ("status", "error_code")], F.max("last").getField("ts").alias("updated_at")],
+    )
+
+
 def run_progress(latest: DataFrame, total_agents: int) -> DataFrame:
     """Per run: completed agents, the agent at work, and the status, from :func:`run_states`.
 
@@ -196,14 +318,12 @@ def run_progress(latest: DataFrame, total_agents: int) -> DataFrame:
     )
 
 
-def _slice_with_rank(rows: DataFrame, wanted: DataFrame, width: str) -> DataFrame:
-    """(run_id, slice, wanted): the time slice of each run that holds its wanted rank.
+def _holder(counts: DataFrame, wanted: DataFrame, width: str) -> DataFrame:
+    """(run_id, slice, wanted): the time slice of each run that holds its wanted rank, and the rank inside it.
 
-    ``wanted`` counts from 1 within ``rows``. A run contributes one row per slice.
+    ``counts`` has one row per run and slice of a finer width; ``wanted`` counts from 1.
     """
-    sliced = rows.groupBy("run_id", F.window("ts", width)["start"].alias("slice")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    sliced = counts.groupBy("run_id", F.window("slice", width)["start"].alias("slice")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("run_id").orderBy("slice"))
     placed = sliced.withColumn("upto", upto).join(wanted, "run_id")
     holds = (F.col("wanted") <= F.col("upto")) & (F.col("wanted") > F.col("upto") - F.col("n"))
@@ -217,32 +337,39 @@ def curve_sample(
 ) -> DataFrame:
     """First, middle (n div 2, if n > 2) and last event of every run that has a value.
 
-    The middle one is found without ordering the run: counts per time slice tell
-    which slice holds it, that slice is cut more finely, and so on through
-    ``slice_widths``; only the rows of one finest slice per run are ranked.
+    The events are read twice. The first pass counts them per run and finest slice
+    of ``slice_widths`` and keeps the first and last of each slice; that table gives
+    the ends, and the slice that holds the middle, found from the widest slices
+    down. The second pass takes the events of that one slice per run, whose places
+    come from a distributed sort by time and event id, so any number may tie.
     """
-    order = F.struct("ts", "event_id")
-    picked = F.struct("event_id", F.col(value).alias("value"))
-    with_value = events.where(F.col(value).isNotNull())
-    ends = with_value.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(picked, order).alias("first"),
-        F.max_by(picked, order).alias("last"),
+    order, picked = F.struct("ts", "event_id"), F.struct("event_id", F.col(value).alias("value"))
+    fine = slice_widths[-1]
+    rows = events.where(F.col(value).isNotNull() & F.col("run_id").isNotNull()).select("run_id", "ts", "event_id", F.col(value).alias("value"))
+    counts = through_table(
+        rows.groupBy("run_id", F.window("ts", fine)["start"].alias("slice")).agg(
+            F.count(F.lit(1)).alias("n"), F.min_by(picked, order).alias("first"), F.max_by(picked, order).alias("last")
+        ),
+        "slice-counts",
     )
-
-    rows = with_value.select("run_id", "ts", "event_id", F.col(value).alias("value"))
-    wanted = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select(
-        "run_id", (F.floor(F.col("n") / 2) + 1).alias("wanted")
+    ends = through_table(
+        counts.groupBy("run_id").agg(
+            F.sum("n").alias("n"), F.min_by("first", "slice").alias("first"), F.max_by("last", "slice").alias("last")
+        ),
+        "curve-ends",
     )
-    for width in slice_widths:
-        holder = _slice_with_rank(rows, wanted, width)
-        inside = holder.select("run_id", "slice")
-        rows = rows.withColumn("slice", F.window("ts", width)["start"]).join(
-            inside, ["run_id", "slice"], "left_semi"
-        ).drop("slice")
-        wanted = holder.select("run_id", "wanted")
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id"))
-    middles = rows.withColumn("rank", rank).join(wanted, "run_id").where(F.col("rank") == F.col("wanted"))
+    wanted, inside = ends.where("n > 2").select("run_id", (F.floor(F.col("n") / 2) + 1).alias("wanted")), counts.select("run_id", "slice", "n")
+    for width, finer in zip(slice_widths, [*slice_widths[1:], None], strict=True):
+        holder = _holder(inside, wanted, width)
+        if finer:
+            at = holder.select("run_id", F.col("slice").alias("within"))
+            inside = inside.join(at, "run_id").where(F.window("slice", width)["start"] == F.col("within")).drop("within")
+            wanted = holder.select("run_id", "wanted")
+    holder = through_table(holder, "middle-slices")
+    tied = through_table(
+        rows.withColumn("slice", F.window("ts", fine)["start"]).join(holder, ["run_id", "slice"]).drop("slice"), "middle-events"
+    )
+    middles = with_positions(tied, ["ts", "event_id"], within=["run_id"]).where(F.col("position") == F.col("wanted") - 1)
 
     def end(place: str) -> Column:
         return F.struct(F.lit(place).alias("place"), F.col(f"{place}.event_id"), F.col(f"{place}.value"))
@@ -288,25 +415,45 @@ def event_dedup(events: DataFrame, id_col: str = "event_id", delay: str = "1 hou
     return events.dropDuplicates([id_col])
 
 
-def early_stopping(events: DataFrame, value: str, patience: int, min_gain: float = 0.0) -> DataFrame:
+#: Events of a run that one task works through at a time.
+STOPPING_SLICE = 65_536
+
+
+def early_stopping(
+    events: DataFrame, value: str, patience: int, min_gain: float = 0.0, slice_rows: int = STOPPING_SLICE
+) -> DataFrame:
     """(run_id, stop_event, stop_ts, best): where a run would stop, for the runs that would.
 
     A run stops at the first event after which ``patience`` events in a row have
     not brought the least value so far down by more than ``min_gain``. Events
-    without a value do not count. The windows keep running figures only.
+    without a value do not count.
+
+    A run of any length is cut into slices of ``slice_rows`` events. The least
+    value before a slice, and then the last gain before it, come from one row per
+    slice; inside, both are running figures.
     """
     if patience < 1:
         raise ValueError("patience must be at least 1")
-    in_order = Window.partitionBy("run_id").orderBy("ts", "event_id")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    best = F.min(value).over(so_far)
-    rows = events.where(F.col(value).isNotNull()).select(
-        "run_id", "ts", "event_id", value, F.row_number().over(in_order).alias("place"), best.alias("best")
-    )
-    gained = rows.withColumn("gain_place", F.when(F.col("best").isNull() | (F.col(value) < F.col("best") - min_gain), F.col("place")))
-    last_gain = F.max("gain_place").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stalled = gained.withColumn("stalled", F.col("place") - last_gain).where(F.col("stalled") >= patience)
-    first = stalled.groupBy("run_id").agg(F.min(F.struct("place", "ts", "event_id", "best")).alias("stop"))
-    return first.select(
-        "run_id", F.col("stop.event_id").alias("stop_event"), F.col("stop.ts").alias("stop_ts"), F.col("stop.best").alias("best")
+    rows = events.where(F.col(value).isNotNull()).select("run_id", "ts", "event_id", F.col(value).alias("value"))
+    placed = with_positions(through_table(rows, "curve"), ["ts", "event_id"], within=["run_id"], position="place", group="run")
+    placed = through_table(placed.withColumn("slice", F.floor(F.col("place") / slice_rows)), "placed-curve")
+
+    def carried(table: DataFrame, figure: Column, name: str) -> DataFrame:
+        """Per run and slice: ``figure`` over all slices before it."""
+        before = Window.partitionBy("run").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        per_slice = table.groupBy("run", "slice").agg(figure.alias("of_slice"))
+        merge = F.min if name == "best_before" else F.max
+        return through_table(per_slice.select("run", "slice", merge("of_slice").over(before).alias(name)), "carried")
+
+    inside = Window.partitionBy("run", "slice").orderBy("place")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    best = F.least("best_before", F.min("value").over(earlier))  # nulls are skipped
+    gains = placed.join(carried(placed, F.min("value"), "best_before"), ["run", "slice"]).withColumn("best", best)
+    gained = F.col("best").isNull() | (F.col("value") < F.col("best") - min_gain)
+    gains = through_table(gains.withColumn("gain", F.when(gained, F.col("place"))).drop("best_before", "value"), "gains")
+    last_gain = F.greatest("gain_before", F.max("gain").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stalled = gains.join(carried(gains, F.max("gain"), "gain_before"), ["run", "slice"]).withColumn("stalled", F.col("place") - last_gain)
+    first = stalled.where(F.col("stalled") >= patience).groupBy("run").agg(
+        F.min(F.struct("place", "run_id", "ts", "event_id", "best")).alias("stop")
     )
+    return first.select("stop.run_id", F.col("stop.event_id").alias("stop_event"), F.col("stop.ts").alias("stop_ts"), "stop.best")

@@ -67,9 +67,9 @@ def with_positions(
     names = [f"key{k}" for k in range(len(within))]
     keys = [F.col(c).alias(n) for c, n in zip(within, names, strict=True)]
     # One row per partition and group.
-    counts = through_table(
-        rows.groupBy(F.col(part).alias("part"), *keys).agg(F.min(at).alias("least"), F.count(F.lit(1)).alias("n")), "counts"
-    )
+    counts = rows.groupBy(F.col(part).alias("part"), *keys).agg(F.min(at).alias("least"), F.count(F.lit(1)).alias("n"))
+    if group:
+        counts = through_table(counts, "counts")
     before = Window.partitionBy(*names).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")
     whole = F.sum("n").over(Window.partitionBy(*names))

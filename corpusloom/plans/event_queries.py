@@ -7,6 +7,7 @@ the value is the loss or latency, the property ``k`` the epoch or error code.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,31 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_log(S.read_events(spark, os.path.join(sf_dir, "events.parque[t]"), EVENT_SCHEMA))
 
 
+#: A replayed stream is delivered in three slices of time.
+SLICES = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+
+
+def time_slices(events: DataFrame) -> list[DataFrame]:
+    """The events before, between and after the times of ``SLICES``."""
+    times = [None, *[F.lit(t).cast("timestamp_ntz") for t in SLICES], None]
+    ts, out = F.col("ts"), []
+    for begin, end in zip(times, times[1:], strict=False):
+        rows = events if begin is None else events.where(ts >= begin)
+        out.append(rows if end is None else rows.where(ts < end))
+    return out
+
+
+def replayed(
+    spark: SparkSession, sf_dir: str, follow: Callable[[DataFrame, str], DataFrame], slices: list[DataFrame] | None = None
+) -> DataFrame:
+    """What ``follow(stream, root)`` gives in the end, called anew after each slice of the events with the same ``root``."""
+    root = scratch_path(spark, "replayed")
+    delivered = f"{root}/delivered"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = lambda: S.read_events(spark, delivered, EVENT_SCHEMA)
+    return S.replay(slices or time_slices(events), delivered, lambda: follow(stream(), f"{root}/result"))
+
+
 def _sql_case(position: int) -> str:
     return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v[position]}'" for k, v in AGENTS.items()) + " END"
 
@@ -136,9 +162,12 @@ def publish_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, agent, level FROM {_LOG} WHERE run_id = 'run_7'")
 def consume_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run followed from the start of the stream."""
-    followed = E.for_run(log_stream(spark, sf_dir), "run_7").select("event_id", "agent", "level")
-    return S.append_result(followed, "followed")
+    """One run followed from the start of the stream, by a reader that stops and resumes after each slice of it."""
+
+    def follow(events: DataFrame, root: str) -> DataFrame:
+        return S.append_result(E.for_run(as_log(events), "run_7").select("event_id", "agent", "level"), "followed", root)
+
+    return replayed(spark, sf_dir, follow)
 
 
 @query(f"SELECT event_id, agent, level FROM {_LOG} WHERE run_id = 'run_7' AND ts > TIMESTAMP '2024-01-15 00:00:00'")
@@ -153,22 +182,21 @@ def consume_new_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH p AS (SELECT event_id, unnest([
         {{'key': 'agent', 'text': agent}}, {{'key': 'level', 'text': level}}, {{'key': 'message', 'text': message}},
         {{'key': 'run_id', 'text': run_id}}, {{'key': 'event_id', 'text': CAST(event_id AS VARCHAR)}},
-        {{'key': 'context', 'text': '{{"k":' || k || '}}'}}, {{'key': 'late', 'text': CASE WHEN k > 50 THEN 'True' ELSE 'False' END}}
+        {{'key': 'context', 'text': '{{"k":' || k || '}}'}}, {{'key': 'late', 'text': CASE WHEN k > 50 THEN 'True' ELSE 'False' END}},
+        {{'key': 'timestamp', 'text': replace(CAST(ts AS VARCHAR), ' ', 'T')}}, {{'key': 'value', 'text': CAST(value AS VARCHAR)}}
       ]) AS e FROM {_LOG})
     SELECT e.key AS key,
            CASE WHEN NOT json_valid(e.text) THEN 'string'
                 WHEN json_type(e.text) = 'OBJECT' THEN 'object'
                 WHEN json_type(e.text) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE 'string' END AS kind,
            count(*) AS n, count(DISTINCT e.text) AS distinct_texts
-    FROM p GROUP BY 1, 2
+    FROM p WHERE e.text IS NOT NULL GROUP BY 1, 2
     """
 )
 def parse_event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every published value read back, as JSON where it is JSON."""
     parsed = E.parse_values(_published(log(spark, sf_dir)), ["run_id"])
-    counted = parsed.where("key NOT IN ('timestamp', 'value')").groupBy("key", "kind", "text").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counted = parsed.groupBy("key", "kind", "text").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("key", "kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_texts"))
 
 
@@ -199,6 +227,39 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.retained(log(spark, sf_dir), now).select("event_id", "run_id")
 
 
+_DELAY = "1 hour"
+
+
+@query(
+    f"""
+    WITH e AS (SELECT user_id || '_' || event_type AS run_id, ts FROM events),
+    g AS (SELECT *, CASE WHEN ts - lag(ts) OVER o > INTERVAL 7 DAY THEN 1 ELSE 0 END AS anew FROM e WINDOW o AS (PARTITION BY run_id ORDER BY ts)),
+    l AS (SELECT *, sum(anew) OVER (PARTITION BY run_id ORDER BY ts) AS life FROM g),
+    lives AS (SELECT run_id, life, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM l GROUP BY run_id, life)
+    SELECT run_id, {_sql_stamp('first_ts')} AS first_ts, {_sql_stamp('last_ts')} AS last_ts,
+           {_sql_stamp('last_ts + INTERVAL 7 DAY')} AS expired_at, events
+    FROM lives a
+    WHERE EXISTS (SELECT 1 FROM lives b WHERE b.run_id = a.run_id AND b.life > a.life)
+       OR last_ts + INTERVAL 7 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+    """
+)
+def retention_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs (a user's events of one type) that expire while the events come in, in several resumed micro-batches.
+
+    A life that a later one followed has expired; the last life of a run has if
+    the watermark passed its expiry.
+    """
+
+    def follow(events: DataFrame, root: str) -> DataFrame:
+        runs = events.select(
+            F.concat_ws("_", F.col("user_id").cast("string"), "event_type").alias("run_id"), F.col("ts").cast("timestamp").alias("ts")
+        )
+        return S.append_result(E.expired_runs(runs, delay=_DELAY), "expired", root)
+
+    expired = replayed(spark, sf_dir, follow)
+    return expired.select("run_id", stamp("first_ts"), stamp("last_ts"), stamp("expired_at"), "events")
+
+
 @query(
     f"""
     SELECT event_id, run_id FROM {_LOG}
@@ -234,7 +295,9 @@ def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GAUGE)
 def gauge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.snapshot_result(E.gauge(log_stream(spark, sf_dir), ["run_id"], "value"), "gauge")
+    """Kept live: each slice of the stream writes the rows it changes, and the next call resumes."""
+    live = E.live_gauge(["run_id"], "value")
+    return replayed(spark, sf_dir, lambda events, root: live.whole(S.live_result(live.parts(as_log(events)), live.keys, "gauge", root)))
 
 
 _COUNTER = f"SELECT agent, level, count(*) AS total FROM {_LOG} GROUP BY agent, level"
@@ -247,7 +310,8 @@ def counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_COUNTER)
 def counter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.snapshot_result(E.counter(log_stream(spark, sf_dir), ["agent", "level"]), "counter")
+    live = E.live_counter(["agent", "level"])
+    return live.whole(S.live_result(live.parts(log_stream(spark, sf_dir)), live.keys, "counter"))
 
 
 _HISTOGRAM = " UNION ALL ".join(
@@ -264,8 +328,9 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HISTOGRAM)
 def histogram_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = E.histogram(log_stream(spark, sf_dir), "value", labels=["agent"])
-    return S.snapshot_result(live, "histogram").select("agent", "le", "n", rounded("sum", 4))
+    live = E.live_histogram("value", labels=["agent"])
+    counts = live.whole(S.live_result(live.parts(log_stream(spark, sf_dir)), live.keys, "histogram"))
+    return E.histogram_rows(counts, labels=["agent"]).select("agent", "le", "n", rounded("sum", 4))
 
 
 def _states(events: DataFrame) -> DataFrame:
@@ -293,8 +358,9 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STATE_ROWS)
 def run_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = S.snapshot_result(E.run_states(_states(log_stream(spark, sf_dir))), "states")
-    return live.select("run_id", "agent", "status", "error_code", stamp("updated_at"))
+    live = E.live_run_states()
+    states = live.whole(S.live_result(live.parts(_states(log_stream(spark, sf_dir))), live.keys, "states"))
+    return states.select("run_id", "agent", "status", "error_code", stamp("updated_at"))
 
 
 @query(
@@ -344,9 +410,9 @@ def windowed_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_THROUGHPUT)
 def windowed_throughput_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete mode, so that windows the watermark has not closed are there too."""
-    live = E.windowed_throughput(log_stream(spark, sf_dir), "1 day", labels=["agent"], value="value")
-    return _throughput_columns(S.snapshot_result(live, "throughput"))
+    """Update mode, so that windows the watermark has not closed are there too; closed ones are state no more."""
+    live = E.windowed_throughput(log_stream(spark, sf_dir).withWatermark("ts", _DELAY), "1 day", labels=["agent"], value="value")
+    return _throughput_columns(S.live_result(live, ["agent", "window_start"], "throughput"))
 
 
 @query(
@@ -392,4 +458,7 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def error_summary_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.snapshot_result(E.error_summary(log_stream(spark, sf_dir)), "errors")
+    code = F.try_element_at("metadata", F.lit("error_code")).alias("error_code")
+    faults = log_stream(spark, sf_dir).where(F.col("level").isin("ERROR", "WARN")).select("ts", "agent", "level", code)
+    live = E.live_counter(["agent", "level", "error_code"])
+    return live.whole(S.live_result(live.parts(faults), live.keys, "errors")).withColumnRenamed("total", "n")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from corpusloom.operators import events as E
 from corpusloom.operators import redact as R
 from corpusloom.operators import sampling as S
 from corpusloom.operators.template import apply_template, conversation_to_chatml
-from corpusloom.plans.event_queries import _LOG, EVENT_SCHEMA, log
+from corpusloom.plans.event_queries import _LOG, SLICES, log, replayed, time_slices
 from corpusloom.plans.preparation import run_stages
 from corpusloom.plans.registry import query, rounded, table
 from corpusloom.sources.readers import load
@@ -156,15 +154,37 @@ def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.early_stopping(log(spark, sf_dir), "value", patience=20).drop("stop_ts")
 
 
-@query("SELECT event_id, user_id, value FROM events")
+@query(
+    f"""
+    SELECT event_id, user_id, value FROM events
+    WHERE NOT (event_id % 97 = 0 AND ts < TIMESTAMP '{SLICES[0]}'
+               AND ts < (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '{SLICES[1]}') - INTERVAL 2 DAY)
+    """
+)
 def event_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream that delivers every event twice, in several micro-batches."""
-    path = os.path.join(sf_dir, "events.parque[t]")
-    twice = [
-        L.read_events(spark, path, EVENT_SCHEMA).withColumn("ts", F.col("ts").cast("timestamp")) for _ in range(2)
+    """A stream that delivers events again and late, in three slices, to a reader that is restarted after each.
+
+    The second and third slice repeat the last day of the one before. The third
+    also brings events held back so far: those of the first slice lie behind the
+    watermark (two days) by then and are dropped, those of the second slice's
+    last day are not.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    first, second, third = time_slices(events)
+    split, later = (F.lit(t).cast("timestamp_ntz") for t in SLICES)
+    day = F.expr("INTERVAL 1 DAY")
+    too_late, late = F.col("event_id") % 97 == 0, (F.col("event_id") % 97 == 1) & (F.col("ts") >= later - day)
+    slices = [
+        first.where(~too_late),
+        second.where(~late).unionByName(first.where(~too_late & (F.col("ts") >= split - day))),
+        third.unionByName(second.where(F.col("ts") >= later - day)).unionByName(first.where(too_late)),
     ]
-    once = E.event_dedup(twice[0].unionByName(twice[1]), delay="60 days")
-    return L.append_result(once, "event-dedup").select("event_id", "user_id", "value")
+
+    def follow(stream: DataFrame, root: str) -> DataFrame:
+        once = E.event_dedup(stream.withColumn("ts", F.col("ts").cast("timestamp")), delay="2 days")
+        return L.append_result(once, "event-dedup", root)
+
+    return replayed(spark, sf_dir, follow, slices).select("event_id", "user_id", "value")
 
 
 @query("SELECT source, count(*) AS docs FROM documents GROUP BY source")
