@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.positions import with_positions
+
 MAX_PAGE = 100
 EXPORT_FORMATS = ("adapter", "merged", "gguf")
 
@@ -20,18 +22,47 @@ def page(
 ) -> DataFrame:
     """One page of the rows that equal ``where``, with total and has_more on each row.
 
-    The page is a top-k of ``offset + limit`` rows, not a sort of the table;
-    the total is a scalar subquery over the same filter.
+    A page within the first ``NEAR`` rows is a top-k, not a sort of the table; a
+    deeper one comes from :func:`rows_from`, so no task holds the rows before it.
+    The total is a scalar subquery over the same filter.
     """
     if not 0 <= limit <= MAX_PAGE or offset < 0:
         raise ValueError(f"need 0 <= limit <= {MAX_PAGE} and offset >= 0")
     for column, value in (where or {}).items():
         df = df.where(F.col(column) == F.lit(value))
     total = df.agg(F.count(F.lit(1))).scalar()
-    rows = df.orderBy(order_by).offset(offset).limit(limit)
+    rows = rows_from(df, order_by, limit, offset)
     return rows.withColumn("total", total).withColumn("has_more", F.col("total") > offset + limit)
 
 
+#: Pages that end within so many rows are taken by top-k.
+NEAR = 1_000
+
+
+def rows_from(df: DataFrame, order_by: str, limit: int, offset: int) -> DataFrame:
+    """The rows ``offset`` to ``offset + limit`` in the order of ``order_by``.
+
+    A deep page is found over the sort keys alone: they are range-sorted, counts
+    per range tell the range in which the page begins, and the rows between the
+    keys at its two ends are read from the table, where the bounds are pushed to
+    the scan.
+    """
+    if offset + limit <= NEAR:
+        return df.orderBy(order_by).offset(offset).limit(limit)
+    keys = with_positions(df.select(F.col(order_by).alias("key")), ["key"])
+    on_page = keys.where(F.col("position").between(offset, offset + limit - 1))
+    # Rows that tie with the first key but stand before the page are skipped.
+    found = on_page.agg(F.min("key"), F.max("key"), F.count_if(F.col("key").isNull()), F.count(F.lit(1)), F.min("position")).first()
+    low, high, nulls, n, start = found
+    if not n:
+        return df.limit(0)
+    column = F.col(order_by)
+    inside = F.lit(False) if low is None else column.between(F.lit(low), F.lit(high))
+    before = keys.where(F.col("key").isNull() if nulls else F.col("key") == F.lit(low)).agg(F.min("position")).first()[0]
+    rows = df.where((inside | column.isNull()) if nulls else inside)
+    return rows.orderBy(order_by).offset(start - before).limit(limit)
+
+
 def preview(df: DataFrame, order_by: str, limit: int = 10) -> DataFrame:
     """First rows with the size of the whole table; more than ``MAX_PAGE`` rows are refused."""
     if not 0 <= limit <= MAX_PAGE:
@@ -128,7 +159,7 @@ def list_projects(projects: DataFrame, limit: int = 50, offset: int = 0, order_b
     tags = F.when(F.coalesce(F.col("tags"), F.lit("")) == "", F.array().cast("array<string>")).otherwise(
         F.split("tags", ",")
     )
-    return projects.orderBy(order_by).offset(offset).limit(limit).withColumn("tags", tags)
+    return rows_from(projects, order_by, limit, offset).withColumn("tags", tags)
 
 
 def project_counts(projects: DataFrame, members: Mapping[str, DataFrame], id_col: str = "project_id") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokens import decoded_text, token_count, token_ids
+from corpusloom.operators.positions import free_name, with_positions
+from corpusloom.session import through_table
 
 IGNORED_LABEL = -100
 
@@ -73,22 +75,43 @@ def token_windows(
 
     A text without ids is one empty window.
     """
-    encoded = df.withColumn("__ids", token_ids(F.col(text), vocabulary, special_tokens))
-    last = F.greatest(F.ceil(F.size("__ids") / F.lit(max_length)).cast("int"), F.lit(1)) - 1
-    cut = encoded.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
-    ids = F.slice("__ids", F.col("window") * max_length + 1, max_length)
-    cut = cut.withColumn("input_ids", ids).drop("__ids")
-    real = F.size("input_ids")
+    others = [c for c in df.columns if c not in _WINDOW_COLUMNS]
+    encoded = df.select(*others, token_ids(F.col(text), vocabulary, special_tokens).alias("input_ids"))
+    return cut_windows(encoded, "input_ids", max_length, padding, pad_id)
+
+
+_WINDOW_COLUMNS = ("window", "input_ids", "attention_mask", "token_count")
+
+
+def cut_windows(df: DataFrame, ids: str, max_length: int, padding: bool = False, pad_id: int = 0) -> DataFrame:
+    """Consecutive windows of a column of id lists: rows (…, window, ids, attention_mask, token_count).
+
+    No id is lost or repeated; a row without ids is one empty window. With
+    ``padding`` every window is as long as ``max_length``.
+    """
+    if max_length < 1:
+        raise ValueError("max_length must be at least 1")
+    last = F.greatest(F.ceil(F.size(ids) / F.lit(max_length)).cast("int"), F.lit(1)) - 1
+    cut = df.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
+    cut = cut.withColumn(ids, F.slice(ids, F.col("window") * max_length + 1, max_length))
+    real = F.size(ids)
     length = F.lit(max_length) if padding else real
     return cut.select(
-        *[c for c in df.columns if c not in ("window", "input_ids", "attention_mask", "token_count")],
+        *[c for c in df.columns if c not in (*_WINDOW_COLUMNS, ids)],
         "window",
-        (_padded(F.col("input_ids"), length, pad_id) if padding else F.col("input_ids")).alias("input_ids"),
+        (_padded(F.col(ids), length, pad_id) if padding else F.col(ids)).alias(ids),
         _mask(real, length).alias("attention_mask"),
         length.alias("token_count"),
     )
 
 
+def byte_ids(text: Column) -> Column:
+    """One id per UTF-8 byte, the byte + 1, so that 0 is free for padding; null has none."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda k: F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("int") + 1)
+
+
 def truncation_stats(df: DataFrame, max_length: int, counts: str = "token_count", by: Sequence[str] = ()) -> DataFrame:
     """What a cut at ``max_length`` would take: rows, truncated_rows, tokens, lost_tokens."""
     n = F.coalesce(F.col(counts), F.lit(0)).cast("bigint")
@@ -100,21 +123,27 @@ def truncation_stats(df: DataFrame, max_length: int, counts: str = "token_count"
     )
 
 
-def row_ranks(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, rank): places from 0 of unique integer ids in their order.
+def batch_rows(
+    df: DataFrame, ids: str, order_by: Sequence[str] | str, batch_size: int = 64, padding: bool = True, pad_id: int = 0
+) -> DataFrame:
+    """Batches of neighbouring rows in the order of ``order_by``, each padded to its own longest row.
 
-    Counts per range of ids give each range its first rank; about the root of
-    the number of rows is the number of ranges, and the size of one if ids are
-    spread evenly. Two figures per table reach the driver.
+    Works on any column of id lists. Rows are numbered by a distributed sort
+    (:func:`corpusloom.operators.positions.with_positions`), so a batch holds
+    ``batch_size`` rows however the order's values are spread, and no far value
+    makes one task larger. Adds batch_id, true_tokens (before padding),
+    token_count (after) and attention_mask.
     """
-    ids = df.select(F.col(id_col).alias("id"))
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    width = max(1, int((high - low + 1) / max(1.0, n**0.5))) if n else 1
-    ranged = ids.withColumn("range", F.floor((F.col("id") - F.lit(low)) / F.lit(width)))
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("id"))
-    return ranged.withColumn("place", place).join(counts, "range").select("id", (F.col("before") + F.col("place") - 1).alias("rank"))
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    place = free_name(df, "place")
+    ranked = with_positions(df, order, position=place)
+    numbered = ranked.withColumn("batch_id", F.floor(F.col(place) / F.lit(batch_size))).drop(place)
+    numbered = numbered.withColumn("true_tokens", F.size(ids))
+    longest = F.max("true_tokens").over(Window.partitionBy("batch_id")) if padding else F.col("true_tokens")
+    sized = numbered.withColumn("token_count", longest)
+    return sized.withColumn("attention_mask", _mask(F.col("true_tokens"), F.col("token_count"))).withColumn(
+        ids, _padded(F.col(ids), F.col("token_count"), pad_id)
+    )
 
 
 def tokenize_batches(
@@ -130,24 +159,13 @@ def tokenize_batches(
 ) -> DataFrame:
     """Tokenize in batches of neighbouring ids, each padded to its own longest row.
 
-    Rows are numbered by their unique integer ids, and a batch is that number
-    div ``batch_size``, so it holds ``batch_size`` rows however sparse the ids are.
-    ``token_count`` is the length after padding, ``true_tokens`` the one before.
+    See :func:`batch_rows`. ``token_count`` is the length after padding,
+    ``true_tokens`` the one before.
     """
-    ranks = row_ranks(df, id_col).select(F.col("id").alias(id_col), "rank")
-    encoded = tokenize(
-        df.join(ranks, id_col), text, max_length=max_length, vocabulary=vocabulary, special_tokens=special_tokens
-    ).drop("attention_mask", "token_count")
-    batch = F.floor(F.col("rank") / F.lit(batch_size))
-    numbered = encoded.withColumn("batch_id", batch).drop("rank").withColumn("true_tokens", F.size("input_ids"))
-    if padding:
-        longest = F.max("true_tokens").over(Window.partitionBy("batch_id"))
-    else:
-        longest = F.col("true_tokens")
-    sized = numbered.withColumn("token_count", longest)
-    return sized.withColumn(
-        "attention_mask", _mask(F.col("true_tokens"), F.col("token_count"))
-    ).withColumn("input_ids", _padded(F.col("input_ids"), F.col("token_count"), pad_id))
+    encoded = tokenize(df, text, max_length=max_length, vocabulary=vocabulary, special_tokens=special_tokens)
+    # Encoded once: sampling the sort's splitters reads the written ids again, not the tokenizer.
+    encoded = through_table(encoded.drop("attention_mask", "token_count"), "encoded")
+    return batch_rows(encoded, "input_ids", id_col, batch_size, padding, pad_id)
 
 
 def causal_labels(df: DataFrame, pad_id: int, ids: str = "input_ids") -> DataFrame:

@@ -29,6 +29,18 @@ def list_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.page(_models(spark, sf_dir), "run_id", 20, 40, {"base_model": "2-HIGH"})
 
 
+@query(
+    """
+    WITH n AS (SELECT count(*) AS total FROM orders)
+    SELECT o_orderkey AS run_id, o_orderpriority AS base_model, o_totalprice AS score, total, total > 1420 AS has_more
+    FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders), n WHERE r BETWEEN 1401 AND 1420
+    """
+)
+def list_models_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far behind the first: found over the keys, then read by their range."""
+    return G.page(_models(spark, sf_dir), "run_id", 20, 1400)
+
+
 @query(
     """
     SELECT o_orderkey AS run_id, o_orderpriority AS base_model, o_totalprice AS score,

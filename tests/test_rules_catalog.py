@@ -118,3 +118,16 @@ def test_projects(spark):
         ("p1", "One", "z", "now"), ("p2", "Duo", "", "now"), ("p3", "Three", None, "old"),
     ]
     assert [r.project_id for r in G.remove_rows(projects, jobs, "project_id").orderBy("project_id").collect()] == ["p2", "p3"]
+
+
+@pytest.mark.parametrize("offset", [0, 700, 995, 1490, 1500, 4000])
+def test_pages_at_any_depth(spark, monkeypatch, offset):
+    monkeypatch.setattr(G, "NEAR", 50)
+    ids = [None, None, *range(0, 4500, 3), *[900] * 3]
+    rows = spark.createDataFrame([(i, "x") for i in ids], "id bigint, v string").repartition(6)
+    wanted = sorted(ids, key=lambda i: (i is not None, i or 0))[offset : offset + 20]
+    got = G.page(rows, "id", 20, offset).collect()
+    assert sorted((r.id is not None, r.id or 0) for r in got) == [(i is not None, i or 0) for i in wanted]
+    assert all(r.total == len(ids) and r.has_more == (len(ids) > offset + 20) for r in got)
+    if offset == 0:
+        assert [r.id for r in got] == wanted

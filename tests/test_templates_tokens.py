@@ -136,3 +136,26 @@ def test_templates_come_before_chunks_and_stages_can_be_added(texts):
     assert [r.text for r in rows] == ["b.0", "a.1"]
     doubled = run_stages(texts(["b"]), [lambda d: d.withColumn("text", F.repeat("text", 2)), lambda d: d.where("id = 0")])
     assert doubled.first().text == "bb"
+
+
+def test_windows_lose_no_id_and_pad_to_length(spark):
+    rows = spark.createDataFrame([(1, list(range(1, 12))), (2, []), (3, [5] * 4)], "id int, ids array<int>")
+    got = {(r.id, r.window): (r.ids, r.attention_mask, r.token_count) for r in N.cut_windows(rows, "ids", 4, padding=True).collect()}
+    assert got[(1, 2)] == ([9, 10, 11, 0], [1, 1, 1, 0], 4) and got[(2, 0)] == ([0] * 4, [0] * 4, 4) and len(got) == 5
+    loose = {(r.id, r.window): r.ids for r in N.cut_windows(rows, "ids", 4).collect()}
+    assert sum((loose[(1, k)] for k in range(3)), []) == list(range(1, 12)) and loose[(2, 0)] == []
+
+
+def test_byte_ids(evaluate):
+    texts = ["aé", "", None, "\x00z"]
+    assert evaluate(texts, N.byte_ids(F.col("text"))) == [[b + 1 for b in (t or "").encode()] for t in texts]
+
+
+def test_batches_hold_their_number_of_rows_beside_a_far_id(spark):
+    ids = [*range(100), 10**17]
+    rows = spark.createDataFrame([(i, [1] * (k % 7)) for k, i in enumerate(ids)], "id bigint, ids array<int>").repartition(4)
+    got = N.batch_rows(rows, "ids", "id", batch_size=10).collect()
+    assert {r.id: r.batch_id for r in got} == {i: k // 10 for k, i in enumerate(ids)}
+    for r in got:
+        own = [len(range(k % 7)) for k in range(101) if k // 10 == r.batch_id]
+        assert r.token_count == max(own) == len(r.ids) and sum(r.attention_mask) == r.true_tokens
