@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +14,6 @@ from corpusloom.functions.text import WS, strip
 SENTENCE_GAP = rf"{WS}(?<=[.!?]{WS}){WS}*"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it many times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def sentences(text: Column) -> Column:
     """Pieces between the white space that follows ``.``, ``!`` or ``?``."""
     stripped = strip(text)
@@ -26,92 +22,49 @@ def sentences(text: Column) -> Column:
     )
 
 
-def _packing(lengths: Column, max_length: int, overlap: int) -> Column:
-    """Greedy packing over sentence lengths: array of (first sentence, count).
-
-    The state holds positions, never text, so its size does not depend on the
-    length of the document's sentences.
-    """
+def _spans(lengths: list[int], max_length: int, overlap: int) -> list[tuple[int, int]]:
+    """Greedy packing: (first sentence, one past the last) of each chunk, in time in proportion to the sentences."""
+    spans, first, chars = [], 0, 0
+    for i, length in enumerate(lengths):
+        if i > first and chars + length > max_length:
+            spans.append((first, i))
+            # Trailing sentences that together fit the overlap come along.
+            kept, at = 0, i
+            while at > first and kept + lengths[at - 1] <= overlap:
+                at -= 1
+                kept += lengths[at]
+            first, chars = at, kept
+        chars += length
+    if len(lengths) > first:
+        spans.append((first, len(lengths)))
+    return spans
 
-    def carry_over(first: Column, upto: Column) -> Column:
-        """Trailing sentences of [first, upto) that together fit the overlap."""
-        start = F.struct(
-            F.lit(0).alias("n"), F.lit(0).alias("chars"), F.lit(True).alias("open")
-        )
-
-        def take(acc: Column, length: Column) -> Column:
-            fits = acc["open"] & (acc["chars"] + length <= overlap)
-            return F.struct(
-                F.when(fits, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                F.when(fits, acc["chars"] + length).otherwise(acc["chars"]).alias("chars"),
-                fits.alias("open"),
-            )
-
-        backwards = F.reverse(F.slice(lengths, first + 1, upto - first))
-        return F.aggregate(backwards, start, take)
-
-    state = F.struct(
-        F.array().cast("array<struct<first:int,n:int>>").alias("done"),
-        F.lit(0).alias("first"),
-        F.lit(0).alias("chars"),
-        F.lit(0).alias("i"),
-    )
 
-    def step(acc: Column, length: Column) -> Column:
-        full = (acc["chars"] + length > max_length) & (acc["i"] > acc["first"])
-        grown = F.struct(
-            acc["done"].alias("done"),
-            acc["first"].alias("first"),
-            (acc["chars"] + length).alias("chars"),
-            (acc["i"] + 1).alias("i"),
-        )
-        closed = F.concat(
-            acc["done"],
-            F.array(F.struct(acc["first"].alias("first"), (acc["i"] - acc["first"]).alias("n"))),
-        )
-
-        def restart(kept: Column) -> Column:
-            return F.struct(
-                closed.alias("done"),
-                (acc["i"] - kept["n"]).alias("first"),
-                (kept["chars"] + length).alias("chars"),
-                (acc["i"] + 1).alias("i"),
-            )
-
-        if overlap > 0:
-            fresh = _let(carry_over(acc["first"], acc["i"]), restart)
-        else:
-            fresh = restart(F.struct(F.lit(0).alias("n"), F.lit(0).alias("chars")))
-        return F.when(full, fresh).otherwise(grown)
-
-    def finish(acc: Column) -> Column:
-        last = F.array(F.struct(acc["first"].alias("first"), (acc["i"] - acc["first"]).alias("n")))
-        return F.when(acc["i"] > acc["first"], F.concat(acc["done"], last)).otherwise(acc["done"])
-
-    return F.aggregate(lengths, state, step, finish)
+_CHUNKS = "array<struct<text:string,length:int,sentence_count:int>>"
 
 
 def sentence_chunks(text: Column, max_length: int = 512, overlap: int = 50) -> Column:
-    """Array of (text, length, sentence_count), sentences kept whole."""
-
-    def from_sentences(parts: Column) -> Column:
-        def from_lengths(lengths: Column) -> Column:
-            def build(span: Column) -> Column:
-                joined = F.array_join(F.slice(parts, span["first"] + 1, span["n"]), " ")
-                return _let(
-                    joined,
-                    lambda t: F.struct(
-                        t.alias("text"),
-                        F.length(t).alias("length"),
-                        span["n"].alias("sentence_count"),
-                    ),
-                )
-
-            return F.transform(_packing(lengths, max_length, overlap), build)
-
-        return _let(F.transform(parts, F.length), from_lengths)
-
-    return _let(sentences(text), from_sentences)
+    """Array of (text, length, sentence_count), sentences kept whole.
+
+    Sentences are split in the JVM; a whole Arrow batch of them is packed at once.
+    """
+
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("text", pa.string()), ("length", pa.int32()), ("sentence_count", pa.int32())]))
+        for batch in batches:
+            out = []
+            for parts in batch.to_pylist():
+                if parts is None:
+                    out.append(None)
+                    continue
+                chunks = []
+                for first, end in _spans(list(map(len, parts)), max_length, overlap):
+                    joined = " ".join(parts[first:end])
+                    chunks.append({"text": joined, "length": len(joined), "sentence_count": end - first})
+                out.append(chunks)
+            yield pa.array(out, kind)
+
+    return F.arrow_udf(pack, _CHUNKS)(sentences(text))
 
 
 def character_pieces(text: Column, max_length: int = 512, overlap: int = 50) -> Column:

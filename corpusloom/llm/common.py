@@ -61,8 +61,19 @@ def settled(make: Callable[[], DataFrame], spark: SparkSession, label: str) -> D
 
 
 def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``docs`` written with a column that numbers its rows, and the name of that column."""
+    """``docs`` with a column that tells its rows apart, and the name of that column.
+
+    Rows of a plain table of files are known by file and place in it, which every
+    read of the table gives alike. Other rows are numbered and written.
+    """
     name = free_name(docs, "row_")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        meta = docs.metadataColumn("_metadata")
+        path, place = meta.getField("file_path"), meta.getField("row_index")
+        files = docs.select(path.alias("path")).distinct().agg(F.count("path"), F.count_distinct(F.xxhash64("path"))).first()
+        if files[0] == files[1]:
+            return docs.withColumn(name, F.struct(F.xxhash64(path).alias("file"), place.alias("place"))), name
     return written(docs.withColumn(name, F.monotonically_increasing_id()), label), name
 
 

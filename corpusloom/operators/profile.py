@@ -147,6 +147,29 @@ def distinct_per_column(
     return column_profile(df, columns, exact_distinct=exact).select("column", "distinct_values")
 
 
+#: Sketches of 2^12 registers: a standard error of about 1.6 %.
+SKETCH_BITS = 12
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by…, column, sketch): one mergeable sketch of the distinct values per column, missing excluded.
+
+    One scan and one row per group and column: kept beside the table, the sketches
+    of new parts unite with the old ones (:func:`united_distinct`) without reading
+    the table again.
+    """
+    present = {c: F.when(F.col(c).isNotNull(), as_text(df, c)) for c in columns}
+    made = df.groupBy(*by).agg(*[F.hll_sketch_agg(value, SKETCH_BITS).alias(f"__{i}") for i, value in enumerate(present.values())])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"__{i}").alias("sketch")) for i, c in enumerate(columns)]
+    return made.select(*by, F.inline(F.array(*cells)))
+
+
+def united_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, column, distinct_values): estimates from all sketches of a column."""
+    united = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.groupBy(*by, "column").agg(united.alias("distinct_values"))
+
+
 def text_lengths(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, avg_length, min_length, max_length) of the string columns in one pass."""
     columns = [

@@ -17,6 +17,7 @@ from corpusloom.operators.profile import profile
 from corpusloom.operators.template import OUTPUT_COLUMN, apply_template
 from corpusloom.operators.tokenize import count_tokens
 from corpusloom.operators.validate import validation_report
+from corpusloom.session import through_table
 from corpusloom.sources.readers import load
 from corpusloom.sources.writers import save_jsonl
 
@@ -50,7 +51,7 @@ def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
 def preprocess(
     df: DataFrame, text: str, order_by: str, config: PreprocessConfig = PreprocessConfig()
 ) -> DataFrame:
-    """clean, dedup, template, chunk, count tokens. One shuffle: the one of dedup.
+    """clean, dedup, template, chunk, count tokens. Only texts that may be repeated are shuffled, by dedup.
 
     After a template the text lives in column ``text`` and only the ordering
     column is kept beside it.
@@ -60,7 +61,8 @@ def preprocess(
     if config.clean:
         stages.append(lambda d: clean_column(d, text, config.aggressive_clean, config.null_policy))
     if config.dedup:
-        stages.append(lambda d: exact_dedup(d, text, order_by))
+        # Cleaning is costly and exact_dedup reads its input three times: it is written once.
+        stages.append(lambda d: exact_dedup(through_table(d, "cleaned") if config.clean else d, text, order_by))
     if config.template:
         column = OUTPUT_COLUMN
         stages.append(

@@ -13,6 +13,7 @@ from corpusloom.operators.clean import clean_column
 from corpusloom.operators.template import apply_template
 from corpusloom.plans.preparation import PreprocessConfig, preprocess, processing_stats
 from corpusloom.plans.registry import SQL_WS, long, query, sql_clean, table
+from corpusloom.session import through_table
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,15 +122,23 @@ _SHINGLES = r"""
           WHERE c >= 0.7 * (na.n + nb.n - c) - 1e-9)"""
 
 
-@query(
-    f"""
+_NEAR = f"""
     WITH RECURSIVE {_SHINGLES},
     near AS (SELECT a AS id, b AS other FROM e WHERE common >= 0.9 * either - 1e-9
              UNION ALL SELECT b, a FROM e WHERE common >= 0.9 * either - 1e-9),
     r AS (SELECT id, other FROM near UNION SELECT r.id, near.other FROM r JOIN near ON r.other = near.id)
     SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM r WHERE other < id)
     """
-)
+
+
+@query(_NEAR)
+def near_dedup_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups, with candidates from MinHash bands."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
+    return D.near_dedup(docs, "text", "doc_id", 0.9, hashed=True).select("doc_id", "source")
+
+
+@query(_NEAR)
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document of each group of at least 0.9 similar texts, by exact Jaccard of word shingles."""
     return D.near_dedup(_docs(spark, sf_dir).select("doc_id", "text", "source"), "text", "doc_id", 0.9).select("doc_id", "source")
@@ -375,6 +384,68 @@ def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.round_trip_audit(_docs(spark, sf_dir), "text").select("rows", "changed")
 
 
+# The same steps over ids that SQL can repeat: the bytes of the whole texts.
+_BYTES = """
+    (SELECT doc_id, source, coalesce(strlen(text), 0) AS n,
+            list_transform(range(coalesce(strlen(text), 0)), lambda k: 1 + CAST('0x' || substr(hex(encode(text)), 2 * k + 1, 2) AS INTEGER)) AS ids
+     FROM documents)
+"""
+
+
+@query(
+    f"""
+    WITH b AS MATERIALIZED (
+      SELECT doc_id, n, unnest(ids) AS id, unnest(range(n)) AS place FROM {_BYTES} WHERE n > 0)
+    SELECT doc_id, CAST(place // 512 AS INTEGER) AS "window", 512 AS token_count, CAST(count(*) AS INTEGER) AS true_tokens,
+           CAST(count(*) AS INTEGER) AS learned_tokens, CAST(sum(id) AS BIGINT) AS id_sum,
+           CAST(sum(id * (1 + place % 512)) AS BIGINT) AS place_sum
+    FROM b GROUP BY doc_id, place // 512
+    UNION ALL SELECT doc_id, 0, 512, 0, 0, 0, 0 FROM documents WHERE coalesce(strlen(text), 0) = 0
+    """
+)
+def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed windows with padding, mask and labels; the sums tell which ids stand in a window, and where."""
+    ids = _docs(spark, sf_dir).select("doc_id", N.byte_ids(F.col("text")).alias("input_ids"))
+    rows = N.causal_labels(N.cut_windows(ids, "input_ids", 512, padding=True), pad_id=0)
+    at = F.zip_with("input_ids", F.sequence(F.lit(1), F.lit(512)), lambda i, k: (i * k).cast("bigint"))
+    return rows.select(
+        "doc_id", "window", "token_count",
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("true_tokens"),
+        F.size(F.array_remove("labels", N.IGNORED_LABEL)).alias("learned_tokens"),
+        F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
+        F.aggregate(at, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("place_sum"),
+    )
+
+
+@query(
+    """
+    WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents)
+    SELECT doc_id, CAST(place // 32 AS BIGINT) AS batch_id, CAST(n AS INTEGER) AS true_tokens,
+           CAST(max(n) OVER (PARTITION BY place // 32) AS INTEGER) AS token_count,
+           CAST(max(n) OVER (PARTITION BY place // 32) AS INTEGER) AS padded_length
+    FROM r
+    """
+)
+def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of neighbouring rows, each padded to its own longest."""
+    ids = _docs(spark, sf_dir).select("doc_id", N.byte_ids(F.col("text")).alias("input_ids"))
+    rows = N.batch_rows(through_table(ids, "byte-ids"), "input_ids", "doc_id", batch_size=32)
+    return rows.select("doc_id", "batch_id", "true_tokens", "token_count", F.size("input_ids").alias("padded_length"))
+
+
+@query(
+    """
+    SELECT source, count(*) AS rows, count(*) FILTER (n > 2048) AS truncated_rows, CAST(sum(n) AS BIGINT) AS tokens,
+           CAST(sum(greatest(n - 2048, 0)) AS BIGINT) AS lost_tokens
+    FROM (SELECT source, coalesce(strlen(text), 0) AS n FROM documents) GROUP BY source
+    """
+)
+def truncation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cut at 2048 ids would take from each source."""
+    counted = _docs(spark, sf_dir).select("source", F.octet_length(F.coalesce("text", F.lit(""))).alias("token_count"))
+    return N.truncation_stats(counted, 2048, by=["source"])
+
+
 # --- the whole job ----------------------------------------------------------
 
 
@@ -391,7 +462,7 @@ def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepare_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: clean, remove copies, describe what is left per source."""
     cleaned = clean_column(_docs(spark, sf_dir).select("doc_id", "source", "text"), "text")
-    kept = D.exact_dedup(cleaned, "text", "doc_id")
+    kept = D.exact_dedup(through_table(cleaned, "cleaned"), "text", "doc_id")
     return kept.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum("doc_id").cast("bigint").alias("id_sum"),

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -91,3 +92,13 @@ def test_one_huge_document(texts):
     text = " ".join(f"Sentence number {i} goes here." for i in range(20_000))
     got = chunk_dataset(texts([text]), "text", details=True).collect()
     assert [(r.text, r.sentence_count) for r in sorted(got, key=lambda r: r.chunk_id)] == spec_chunks(text, 512, 50)
+
+
+def test_a_text_of_many_sentences_takes_time_in_proportion(spark):
+    long = spark.range(1).select(
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda k: F.concat(F.lit("Sentence "), k.cast("string"), F.lit("."))), " ").alias("t")
+    )
+    begun = time.perf_counter()
+    chunks = long.select(F.inline(K.sentence_chunks(F.col("t"), 60, 20))).agg(F.count(F.lit(1)), F.sum("sentence_count")).first()
+    assert chunks[0] > 20_000 and chunks[1] >= 100_000
+    assert time.perf_counter() - begun < 30

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,78 @@ def test_constraints(spark):
     )
     rows = {r.field: (r.checked, r.violations) for r in V.constraint_violations(df).collect()}
     assert rows == {"epochs": (2, 1), "training_mode": (3, 1), "split_ratio": (3, 1)}
+
+
+def test_unique_texts_are_not_shuffled(spark):
+    rows = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 100 = 1 THEN NULL ELSE concat('text ', id) END AS text")
+    kept = D.exact_dedup(rows, "text", "id")
+    assert kept.count() == 2000 - 666 - (2000 // 100 - 2000 // 300) + 1
+    plan = kept._jdf.queryExecution().executedPlan()
+    shuffled = [line for line in plan.toString().split("\n") if "Exchange hashpartitioning" in line and "text" in line]
+    assert len(shuffled) <= 1 and plan.toString().count("Union") == 1
+    # What meets in the window: the copies, and next to nothing else.
+    assert sorted(r.id for r in kept.where("text = 'hot' OR text IS NULL").collect()) == [0, 1]
+
+
+def jaccard_groups(values, threshold):
+    def sets(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    held, label = {i: sets(t) for i, t in values.items()}, {i: i for i in values}
+    changed = True
+    links = [(a, b) for a in held for b in held if a < b and held[a] and len(held[a] & held[b]) >= threshold * len(held[a] | held[b]) - 1e-9]
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
+@pytest.mark.parametrize("hashed", [False, True])
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_copies_of_a_large_group_and_of_chains(spark, monkeypatch, hashed, block):
+    monkeypatch.setattr(D.linked_groups, "__defaults__", (block,))
+    r = random.Random(6)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    values = {}
+    for k in range(60):  # near copies of one text, a third of the rows
+        words = list(base)
+        words[r.randrange(120)] = f"x{k}"
+        values[k] = " ".join(words)
+    chain = [f"c{k}" for k in range(200)]
+    for k in range(12):  # each is similar to the next, not to the first
+        values[100 + k] = " ".join(chain[3 * k : 3 * k + 100])
+    for k in range(110):
+        values[300 + k] = " ".join(f"w{r.randrange(900)}" for _ in range(30))
+    values[500], values[501] = values[300], ""
+    frame = spark.createDataFrame(list(values.items()), "id bigint, text string").repartition(3)
+    label = jaccard_groups(values, 0.8)
+    kept = sorted(r.id for r in D.near_dedup(frame, "text", "id", 0.8, hashed=hashed).collect())
+    assert kept == sorted(i for i in values if label[i] == i)
+
+
+def test_a_group_sends_rows_in_proportion_to_its_size(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: k % 55], f"x{k}", *base[k % 55 :]])) for k in range(400)]
+    sets = D.shingle_sets(spark.createDataFrame(rows, "id bigint, text string"), "text", "id")
+    classes = sets.select(F.col("id").alias("a"), "members")
+    links = []
+    inner = D.least_reachable
+    D.least_reachable = lambda found: links.append(found.count()) or inner(found)
+    try:
+        groups = D.linked_groups(D.band_buckets(classes), classes, 0.8)
+    finally:
+        D.least_reachable = inner
+    assert groups.select("label").distinct().count() == 1
+    assert all(n <= 6 * 400 for n in links)
+
+
+def test_sketches_unite_to_an_estimate(spark):
+    rows = spark.range(30_000).selectExpr("concat('s', id % 7) AS source", "id % 9000 AS a", "CASE WHEN id % 2 = 0 THEN concat('x', id) END AS b")
+    sketches = P.distinct_sketches(rows, ["a", "b"], by=["source"])
+    assert sketches.count() == 14
+    got = {r.column: r.distinct_values for r in P.united_distinct(sketches).collect()}
+    assert abs(got["a"] - 9000) < 300 and abs(got["b"] - 15_000) < 500
