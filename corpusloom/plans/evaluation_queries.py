@@ -125,11 +125,11 @@ _SQL_BLEU = f"""
     per_n AS (SELECT model, n, sum(least(cp, cr)) AS m, sum(cp) AS t, sum(cr) AS rt FROM grams GROUP BY model, n),
     s AS (SELECT model, max(m) FILTER (n = 1) AS m1, max(t) FILTER (n = 1) AS c, max(rt) FILTER (n = 1) AS r,
                  min(t) AS least_t, avg(ln(m / t)) AS log_p FROM per_n GROUP BY model)
-    SELECT model, round(100 * CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp(log_p), 6) AS bleu FROM s
+    SELECT model, 100 * CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp(log_p) AS bleu FROM s
 """
 
 
-@query(_SQL_BLEU)
+@query(f"SELECT model, round(bleu, 6) AS bleu FROM ({_SQL_BLEU})")
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = E.corpus_bleu(model_pairs(spark, sf_dir), by=["model"])
     return scored.select("model", rounded("bleu"))
@@ -141,23 +141,32 @@ def _sql_rouge_tokens(text: str) -> str:
     )
 
 
-@query(
-    f"""
+# A prediction of these models leaves words out of its reference and adds none, so it is the longest common subsequence.
+_SQL_ROUGE = f"""
     WITH pairs AS ({_sql_model_pairs()}),
     tok AS (SELECT model, doc_id, {_sql_rouge_tokens('prediction')} AS p, {_sql_rouge_tokens('reference')} AS r FROM pairs),
     grams AS ({_sql_grams(2)}),
     f AS (SELECT model, doc_id, n, 2.0 * sum(least(cp, cr)) / (sum(cp) + sum(cr)) AS f FROM grams GROUP BY model, doc_id, n)
-    SELECT t.model, round(avg(coalesce(a.f, 0)), 6) AS rouge1, round(avg(coalesce(b.f, 0)), 6) AS rouge2
+    SELECT t.model, t.doc_id, coalesce(a.f, 0) AS rouge1, coalesce(b.f, 0) AS rouge2,
+           CASE WHEN len(p) > 0 THEN 2.0 * len(p) / (len(p) + len(r)) ELSE 0 END AS "rougeL"
     FROM tok t LEFT JOIN f a ON a.model = t.model AND a.doc_id = t.doc_id AND a.n = 1
                LEFT JOIN f b ON b.model = t.model AND b.doc_id = t.doc_id AND b.n = 2
-    GROUP BY t.model
-    """
-)
+"""
+
+
+@query(f"SELECT model, round(avg(rouge1), 6) AS rouge1, round(avg(rouge2), 6) AS rouge2 FROM ({_SQL_ROUGE}) GROUP BY model")
 def rouge_n_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = E.rouge(model_pairs(spark, sf_dir), by=["model"], stemming=False)
     return scored.select("model", rounded("rouge1"), rounded("rouge2"))
 
 
+@query(f'SELECT model, doc_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round("rougeL", 6) AS "rougeL" FROM ({_SQL_ROUGE})')
+def pair_rouge_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-1, ROUGE-2 and ROUGE-L of every pair, over whole texts."""
+    rows = E.pair_scores(model_pairs(spark, sf_dir), keep=["model", "doc_id"], stemming=False, bleu=False)
+    return rows.select("model", "doc_id", *[rounded(name) for name in ("rouge1", "rouge2", "rougeL")])
+
+
 @query()
 def rouge_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = E.rouge(model_pairs(spark, sf_dir), by=["model"])
@@ -211,19 +220,62 @@ def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.f1_scores(judged, "guess", "quality").select(rounded("f1_macro"), rounded("f1_micro"))
 
 
-@query()
-def compute_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every score of the two models; the losses are the relative lengths lost."""
-    scored = model_pairs(spark, sf_dir).withColumns(
+def _with_losses(pairs: DataFrame) -> DataFrame:
+    """The losses are the relative lengths lost."""
+    return pairs.withColumns(
         {
             "loss": 1 - F.length("prediction") / (F.length("reference") + 1),
             "tokens": F.length("reference"),
         }
     )
+
+
+@query()
+def compute_all_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score of the two models."""
+    scored = _with_losses(model_pairs(spark, sf_dir))
     metrics = E.compute_all(scored, by=["model"], loss="loss", tokens="tokens")
     return metrics.select("model", "metric", rounded("value"))
 
 
+_SQL_ALL = f"""
+  (WITH r AS (SELECT model, avg(rouge1) AS rouge1, avg(rouge2) AS rouge2, avg("rougeL") AS "rougeL" FROM ({_SQL_ROUGE}) GROUP BY model),
+   o AS (SELECT model, avg(CASE WHEN trim(prediction, ' ' || chr(10)) = trim(reference, ' ' || chr(10)) THEN 1.0 ELSE 0.0 END) AS accuracy,
+                exp(sum((1 - length(prediction) / (length(reference) + 1.0)) * length(reference)) / sum(length(reference))) AS perplexity
+         FROM ({_sql_model_pairs()}) GROUP BY model),
+   b AS ({_SQL_BLEU})
+   SELECT model, 'bleu' AS metric, bleu AS value FROM b
+   UNION ALL SELECT model, 'rouge1', rouge1 FROM r UNION ALL SELECT model, 'rouge2', rouge2 FROM r
+   UNION ALL SELECT model, 'rougeL', "rougeL" FROM r
+   UNION ALL SELECT model, 'accuracy', accuracy FROM o UNION ALL SELECT model, 'perplexity', perplexity FROM o)
+"""
+
+
+@query(f"SELECT model, metric, round(value, 6) AS value FROM {_SQL_ALL}")
+def all_metrics_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score of the two models, without stemming."""
+    scored = _with_losses(model_pairs(spark, sf_dir))
+    metrics = E.compute_all(scored, by=["model"], stemming=False, loss="loss", tokens="tokens")
+    return metrics.select("model", "metric", rounded("value"))
+
+
+@query(
+    f"""
+    WITH m AS ({_SQL_ALL[_SQL_ALL.index("(") + 1:_SQL_ALL.rindex(")")]})
+    SELECT metric, round(b.value, 6) AS base_value, round(t.value, 6) AS tuned_value, round(t.value - b.value, 6) AS absolute,
+           round(CASE WHEN b.value <= 0 THEN 0 WHEN metric = 'perplexity' THEN (b.value - t.value) / b.value * 100
+                 ELSE (t.value - b.value) / b.value * 100 END, 6) AS relative_percent
+    FROM m b JOIN m t USING (metric) WHERE b.model = 'base' AND t.model = 'tuned'
+    """
+)
+def compare_models_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation of two models, from pairs to their comparison."""
+    compared = evaluate_and_compare(
+        _with_losses(model_pairs(spark, sf_dir)), "base", "tuned", stemming=False, loss="loss", tokens="tokens"
+    )
+    return compared.select("metric", *[rounded(c) for c in ("base_value", "tuned_value", "absolute", "relative_percent")])
+
+
 _METRICS = """
   (SELECT CASE WHEN user_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS model,
           CASE event_type WHEN 'error' THEN 'perplexity' ELSE event_type END AS metric, avg(value) AS value

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.chunk import chunk_dataset
@@ -39,6 +39,8 @@ class PreprocessConfig:
     null_policy: str = "literal"
     vocabulary: str | None = None
     special_tokens: bool = False
+    #: Counts the tokens of a text column in place of the tokenizer.
+    token_counter: Callable[[Column], Column] | None = None
 
 
 def run_stages(df: DataFrame, stages: Sequence[Stage]) -> DataFrame:
@@ -70,7 +72,10 @@ def preprocess(
         )
     if config.chunk:
         stages.append(lambda d: chunk_dataset(d, column, config.max_length, config.chunk_overlap))
-    stages.append(lambda d: count_tokens(d, column, config.vocabulary, config.special_tokens))
+    if config.token_counter is not None:
+        stages.append(lambda d: d.withColumn("token_count", config.token_counter(F.col(column))))
+    else:
+        stages.append(lambda d: count_tokens(d, column, config.vocabulary, config.special_tokens))
     return run_stages(df, stages)
 
 

@@ -161,17 +161,16 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- chunking ---------------------------------------------------------------
 
-_SENTENCES = f"""
-  SELECT doc_id, unnest(list_filter(
-           string_split(regexp_replace(trim(regexp_replace(text, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')),
-                        '([.!?]){SQL_WS}+', '\\1' || chr(1), 'g'), chr(1)),
-           lambda s: s <> '')) AS text,
-         generate_subscripts(list_filter(
-           string_split(regexp_replace(trim(regexp_replace(text, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')),
-                        '([.!?]){SQL_WS}+', '\\1' || chr(1), 'g'), chr(1)),
-           lambda s: s <> ''), 1) - 1 AS sentence_id
-  FROM documents
-"""
+def _sql_sentences(source: str) -> str:
+    marked = (
+        f"string_split(regexp_replace(trim(regexp_replace(text, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')), "
+        f"'([.!?]){SQL_WS}+', '\\1' || chr(1), 'g'), chr(1))"
+    )
+    pieces = f"list_filter({marked}, lambda s: s <> '')"
+    return f"SELECT doc_id, unnest({pieces}) AS text, generate_subscripts({pieces}, 1) - 1 AS sentence_id FROM {source}"
+
+
+_SENTENCES = _sql_sentences("documents")
 
 
 @query(_SENTENCES)
@@ -180,9 +179,8 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", long("sentence_id"))
 
 
-@query(
-    f"""
-    WITH RECURSIVE s AS ({_SENTENCES}),
+# Greedy packing of the sentences in ``s``: the tables ``d``, ``walk`` and ``cuts``, and the chunks.
+_SQL_CHUNKS = """
     d AS (SELECT doc_id, list(length(text) ORDER BY sentence_id) AS lens,
                  list(text ORDER BY sentence_id) AS texts, count(*) AS n FROM s GROUP BY doc_id),
     walk(doc_id, i, first, chars, cut_first, cut_n) AS (
@@ -206,8 +204,10 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
            array_to_string(d.texts[c.first + 1 : c.first + c.n], ' ') AS text,
            length(array_to_string(d.texts[c.first + 1 : c.first + c.n], ' ')) AS length, c.n AS sentence_count
     FROM cuts c JOIN d USING (doc_id)
-    """
-)
+"""
+
+
+@query(f"WITH RECURSIVE s AS ({_SENTENCES}), {_SQL_CHUNKS}")
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.chunk_dataset(_docs(spark, sf_dir).select("doc_id", "text"), "text", details=True)
     return rows.select("doc_id", long("chunk_id"), "text", long("length"), long("sentence_count"))
@@ -489,8 +489,7 @@ def preprocess_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "token_count")
 
 
-@query(
-    f"""
+_SQL_TEMPLATED = f"""
     WITH c AS (SELECT doc_id, lang, {sql_clean('text')} AS text FROM documents),
     k AS (SELECT c.* FROM c JOIN (SELECT min(doc_id) AS doc_id FROM c GROUP BY text) USING (doc_id))
     SELECT doc_id,
@@ -498,11 +497,46 @@ def preprocess_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
       || 'Write a response that appropriately completes the request.' || chr(10) || chr(10)
       || '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10) || lang AS text
     FROM k
-    """
-)
+"""
+
+
+@query(_SQL_TEMPLATED)
 def preprocess_templated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clean, dedup and template of the full job; the token count is left off for SQL."""
     config = PreprocessConfig(
         template="alpaca", template_mapping={"instruction": "text", "output": "lang"}
     )
     return preprocess(_docs(spark, sf_dir), "text", "doc_id", config).select("doc_id", "text")
+
+
+_SQL_PREPROCESSED = f"""
+    SELECT doc_id, md5(text) AS text_hash, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS token_count
+    FROM (WITH RECURSIVE t AS ({_SQL_TEMPLATED}), s AS ({_sql_sentences('t')}), {_SQL_CHUNKS})
+"""
+
+
+def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clean, dedup, template, chunk; tokens by the estimate from bytes, which SQL can repeat."""
+    config = PreprocessConfig(
+        template="alpaca", template_mapping={"instruction": "text", "output": "lang"}, chunk=True, token_counter=X.estimated_tokens
+    )
+    return preprocess(_docs(spark, sf_dir), "text", "doc_id", config)
+
+
+@query(_SQL_PREPROCESSED)
+def preprocess_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full job, one row per chunk."""
+    return _preprocessed(spark, sf_dir).select("doc_id", F.md5("text").alias("text_hash"), long("token_count"))
+
+
+@query(
+    f"""
+    SELECT (SELECT count(*) FROM documents) AS original_samples, count(*) AS final_samples,
+           (SELECT count(*) FROM documents) - count(*) AS removed_samples, round(avg(token_count), 2) AS avg_tokens,
+           min(token_count) AS min_tokens, max(token_count) AS max_tokens
+    FROM ({_SQL_PREPROCESSED})
+    """
+)
+def preprocess_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics row of the full job."""
+    return processing_stats(_docs(spark, sf_dir), _preprocessed(spark, sf_dir))
