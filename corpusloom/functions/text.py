@@ -38,8 +38,7 @@ _WS_NOT_SPACE = rf"{_points(_NARROW_SPACES)}[{_BEYOND_ASCII}&&[{_WIDE_SPACES}]]"
 WS = rf"[ {_WS_NOT_SPACE}]"
 NOT_WS = rf"[^ {_points(_NARROW_SPACES)}{_WIDE_SPACES}]"
 
-# Runs that are not already one plain space; single spaces need no rewrite.
-_WS_RUN = rf"{WS}(?:{WS}+|(?<! ))"
+_WS_RUN = rf"{WS}+"
 
 # Control characters removed by cleaning (with DEL) and those
 # reported as encoding issues (without DEL).
