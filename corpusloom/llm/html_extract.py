@@ -26,7 +26,12 @@ from corpusloom.llm.common import written
 SUPPORT = 5
 #: Share of the varying text that lets an article or main element be the region.
 REGION_SHARE = 0.5
-REMEMBERED = 20_000
+#: Matched nodes that a process remembers between pages of like trees.
+REMEMBERED = 1_000_000
+#: Share of a page's text that makes an article or main element its principal one.
+PRINCIPAL_SHARE = 0.3
+#: Share of a page's text, where it has no principal element, above which a wrapper is not judged by its names.
+WRAPPER_SHARE = 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -49,6 +54,13 @@ MARKS = frozenset(
 )
 #: Marks of a page's head that may also stand at the head of the article itself.
 HEAD_MARKS = frozenset(("header", "topbar", "site"))
+#: Marks that themes also give to wrappers of the whole page.
+WEAK_MARKS = frozenset("sidebar sidebars widget widgets social header topbar site banner search login overlay modal".split())
+#: Words that turn a name of several words into something else: it has no sidebar, is about menus, wraps the rest.
+TURNING = frozenset("has no not with without category tag topic wrap wrapper of".split())
+#: Blocks of running text: only a name that is a mark by itself counts there.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Start tags that end an open element of the second set.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -59,16 +71,62 @@ PARAGRAPH_ENDS = frozenset(
     "h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# The last form is a tag with a quote that never closes: it ends at the next ``>``.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+)
 _MARKED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAMES = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "children", "fold")
-
-    def __init__(self, tag: str, marks: frozenset = frozenset()):
-        self.tag, self.marks, self.children, self.fold = tag, marks, [], None
+    """``names``: the words of class, id and role without those that hold a digit; ``marks``: those of them that
+    mark unwanted parts; ``plain``: the marks that are a name by themselves; ``kept``: not judged by its names."""
+
+    __slots__ = ("tag", "names", "marks", "plain", "kept", "children", "fold")
+
+    def __init__(self, tag: str, values: str = ""):
+        self.tag, self.children, self.fold, self.kept = tag, [], None, False
+        names, marks, plain = set(), set(), set()
+        for value in values.lower().split():
+            words = [w for w in _NAMES.split(value) if w]
+            names.update(w for w in words if not any(c.isdigit() for c in w))
+            found = [w for w in words if w in MARKS or w in HEAD_MARKS]
+            if len(words) == 1:
+                plain.update(found)
+            if found and TURNING.isdisjoint(words):
+                marks.update(found)
+        self.names, self.marks, self.plain = frozenset(names), frozenset(marks), frozenset(plain)
+
+
+def settle(root: Node) -> Node:
+    """Marks what names do not decide: the way to the principal article or main element, or, in a page
+    without one, the wrappers that hold nearly all of its text."""
+    order, stack = [], [(root, None)]
+    while stack:
+        node, above = stack.pop()
+        order.append((node, above))
+        stack.extend((c, node) for c in node.children if not isinstance(c, str))
+    size: dict[int, int] = {}
+    for node, above in reversed(order):
+        own = 0 if node.tag in RAW else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        size[id(node)] = size.get(id(node), 0) + own
+        if above is not None and (node.tag not in DROPPED or node.tag == "form"):
+            size[id(above)] = size.get(id(above), 0) + size[id(node)]
+    whole = size[id(root)]
+    parents = {id(node): above for node, above in order}
+    articles = [node for node, _ in order if node.tag in ("article", "main")]
+    wanted = [node for node in articles if not node.marks & MARKS] or [node for node in articles if node.marks <= WEAK_MARKS]
+    principal = max(wanted, key=lambda node: size[id(node)], default=None)
+    if principal is not None and size[id(principal)] >= PRINCIPAL_SHARE * whole:
+        at = principal
+        while at is not None:
+            at.kept = at.tag not in DROPPED or at.tag == "form"
+            at = parents[id(at)]
+    else:
+        for node, _ in order:
+            node.kept = (node.tag == "form" or bool(node.marks)) and node.marks <= WEAK_MARKS and size[id(node)] > WRAPPER_SHARE * whole
+    return root
 
 
 def parse(source: str) -> Node:
@@ -79,10 +137,11 @@ def parse(source: str) -> Node:
         if token.start() > at:
             stack[-1].children.append(entities.unescape(source[at : token.start()]))
         at = token.end()
-        if not token[2]:
+        name, closing, attributes = (token[2], token[1], token[3]) if token[2] else (token[5], token[4], token[6])
+        if not name:
             continue
-        tag = token[2].lower()
-        if token[1]:
+        tag = name.lower()
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -105,11 +164,10 @@ def parse(source: str) -> Node:
                     break
                 if stack[k].tag in CLOSES[tag]:
                     del stack[k:]
-        marks = frozenset()
-        if token[3] and not token[3].isspace():
-            words = " ".join(a or b or c for a, b, c in _MARKED.findall(token[3]))
-            marks = frozenset(_NAMES.split(words.lower())) - {""}
-        node = Node(tag, marks)
+        values = ""
+        if attributes and not attributes.isspace():
+            values = " ".join(a or b or c for a, b, c in _MARKED.findall(attributes))
+        node = Node(tag, values)
         stack[-1].children.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -119,14 +177,23 @@ def parse(source: str) -> Node:
             stack.append(node)
     if at < end:
         stack[-1].children.append(entities.unescape(source[at:]))
-    return root
+    return settle(root)
 
 
 def unwanted(node: Node, inside: bool) -> bool:
-    """Whether the element is a menu, advert, form or the like; ``inside``: of an article or main element."""
-    if node.tag in ("html", "body", "article", "main"):
-        return node.tag in ("article", "main") and bool(node.marks & MARKS)
-    if node.tag in DROPPED or node.marks & MARKS:
+    """Whether the element is a menu, advert, form or the like; ``inside``: of an article or main element.
+
+    Names are evidence only: they do not speak against the way to the page's
+    principal element, nor, in running text, unless a name is a mark by itself.
+    """
+    if node.kept:
+        return False
+    if node.tag in ("html", "body"):
+        return False
+    if node.tag in ("article", "main"):
+        return bool(node.marks & MARKS)
+    marks = node.plain if inside and node.tag in TEXT_BLOCKS else node.marks
+    if node.tag in DROPPED or marks & MARKS:
         return True
     return not inside and (node.tag == "header" or bool(node.marks & HEAD_MARKS))
 
@@ -153,6 +220,10 @@ def _own(node: Node, text: list[str], below: list[Node]) -> None:
             below.append(child)
 
 
+def _like(a: Node, b: Node) -> bool:
+    return (a.tag, a.names, a.marks, a.plain, a.kept) == (b.tag, b.names, b.marks, b.plain, b.kept)
+
+
 def fold(members: list[Node]) -> Fold:
     top = Fold("", "", False)
     stack = [(top, members, False, False)]
@@ -160,7 +231,7 @@ def fold(members: list[Node]) -> Fold:
         above, members, inside, bad = stack.pop()
         first = members[0]
         inside = inside or first.tag in ("article", "main")
-        out = Fold(first.tag + "." + ".".join(sorted(first.marks)), first.tag, bad or unwanted(first, inside))
+        out = Fold(first.tag + "." + ".".join(sorted(first.names)), first.tag, bad or unwanted(first, inside))
         above.children.append(out)
         below: list[Node] = []
         for node in members:
@@ -171,7 +242,7 @@ def fold(members: list[Node]) -> Fold:
         runs, k = [], 0
         while k < len(below):
             run = k
-            while run < len(below) and (below[run].tag, below[run].marks) == (below[k].tag, below[k].marks):
+            while run < len(below) and _like(below[run], below[k]):
                 run += 1
             runs.append((out, below[k:run], inside, out.bad))
             k = run
@@ -273,17 +344,18 @@ def merge(base: Fold, other: Fold) -> None:
                 at += 1
 
 
-_ALIGNED: dict[tuple[str, str], dict[int, int]] = {}
+_ALIGNED: dict[tuple[bytes, bytes], dict[int, int]] = {}
 
 
 def aligned(tree: Fold, reference: str) -> dict[int, int]:
-    key = (skeleton(tree), reference)
+    key = tuple(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in (skeleton(tree), reference))
     if key not in _ALIGNED:
-        if len(_ALIGNED) >= REMEMBERED:
-            _ALIGNED.clear()
         other = unfolded(reference)
         listed(other)
-        _ALIGNED[key] = simple_tree_matching(tree, other)
+        found = simple_tree_matching(tree, other)
+        if sum(map(len, _ALIGNED.values())) + len(found) > REMEMBERED:
+            _ALIGNED.clear()
+        _ALIGNED[key] = found
     return _ALIGNED[key]
 
 
@@ -320,7 +392,10 @@ def region(tree: Fold, mass: dict[int, int]) -> list[int]:
 
 
 def content(tree: Node, nodes: list[Fold], regions: set[int], template: set[int]) -> str:
-    """Blocks of the regions in page order, without unwanted elements and template nodes."""
+    """Blocks of the regions in page order, without unwanted elements and template nodes.
+
+    A heading of an article or main element is content, also if many pages have it.
+    """
     blocks: list[str] = []
     line: list[str] = []
 
@@ -330,9 +405,9 @@ def content(tree: Node, nodes: list[Fold], regions: set[int], template: set[int]
         if text:
             blocks.append(text)
 
-    stack: list = [(tree, False)]
+    stack: list = [(tree, False, False)]
     while stack:
-        item, within = stack.pop()
+        item, within, article = stack.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
@@ -342,18 +417,19 @@ def content(tree: Node, nodes: list[Fold], regions: set[int], template: set[int]
             line.append(" ")
         elif item.tag in INLINE:
             if not unwanted(item, True):
-                stack.extend((c, within) for c in reversed(item.children))
+                stack.extend((c, within, article) for c in reversed(item.children))
         else:
             own = item.fold
             if own is None or own.bad:
                 continue
             within = within or own.number in regions
+            article = within and (article or item.tag in ("article", "main"))
             flush()
-            stack.append((None, within))
-            if own.number in template:
-                stack.extend((c, within) for c in reversed(item.children) if not isinstance(c, str) and c.tag not in INLINE)
+            stack.append((None, within, article))
+            if own.number in template and not (article and item.tag in HEADINGS):
+                stack.extend((c, within, article) for c in reversed(item.children) if not isinstance(c, str) and c.tag not in INLINE)
             else:
-                stack.extend((c, within) for c in reversed(item.children))
+                stack.extend((c, within, article) for c in reversed(item.children))
     flush()
     return "\n\n".join(blocks)
 
@@ -458,6 +534,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     ``support`` pages that differ elsewhere all have it: all pages of the host
     that have the node, or all pages of the layout.
 
+    Class, id and role names that mark menus, adverts, comments and the like are
+    evidence against an element, but not on the way to the principal article or
+    main element, not in a name that turns them ("has-sidebar", "menu-of-the-day")
+    and, in running text, only as a whole name. Words with digits in names are
+    left out, so ids of single pages do not make layouts of their own.
+
     Null and empty html give an empty text. Repeated rows are pages of their
     own. An empty table gives an empty result. Other columns are not read.
     """
