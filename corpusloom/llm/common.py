@@ -146,7 +146,7 @@ _SHARED: list[WordHashes] = []
 class WordHashes(dict):
     """Eight hash bytes of each word, remembered; emptied when it grows past ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -30,6 +30,8 @@ RARE_WEIGHT = 4.0
 #: Features in fewer documents of the sample than this take no part in the fit.
 LEAST_DOCS = 3
 PENALTY = 1.0
+#: Features that one step of the fit works on at a time.
+FIT_BLOCK = 1 << 18
 
 #: Classes of bytes for the shape of a word: lower, upper, digit, beyond ASCII; other bytes stand for themselves.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -50,11 +52,11 @@ class Features:
     """Sparse hashed features of a text: (indices, values)."""
 
     def __init__(self, bits: int = BITS):
-        self.words, self.shapes, self.shape_of = WordHashes(500_000), WordHashes(), {}
+        self.words, self.shapes, self.shape_of = WordHashes(), WordHashes(), {}
         self.shift, self.size = np.uint64(64 - bits), 1 << bits
 
     def _shapes(self, words: list[bytes]) -> list[bytes]:
-        if len(self.shape_of) > 500_000:
+        if len(self.shape_of) > 200_000:
             self.shape_of.clear()
         out = []
         for word in words:
@@ -142,23 +144,41 @@ def fit(
     ``start`` has the place of each row's first feature. The thresholds are kept
     in order by writing them as a first one plus positive steps.
     """
-    n = len(start)
-    rows, every = np.repeat(np.arange(n), np.diff(np.append(start, len(index)))), np.arange(n)
-    common = np.bincount(index, minlength=size)[index] >= LEAST_DOCS
-    index, value, rows = index[common], value[common].astype(float), rows[common]
+    n, every, bounds = len(start), np.arange(len(start)), np.append(start, len(index))
+    counts = np.bincount(index, minlength=size)
+    # Only features that take part are parameters: the others keep the weight 0.
+    active, common = np.flatnonzero(counts >= LEAST_DOCS), counts[index] >= LEAST_DOCS
+    bounds = np.concatenate([[0], np.cumsum(common)])[bounds]
+    place = np.zeros(size, np.int32)
+    place[active] = np.arange(len(active))
+    index, value = place[index[common]], value[common].astype(np.float32)
+    full_size, size = size, len(active)
+    # Rows are worked through in blocks, so that the driver holds the features and little besides.
+    cuts_of_rows = np.unique(np.concatenate([np.searchsorted(bounds, np.arange(0, len(index) + 1, FIT_BLOCK)), [0, n]]))
+    blocks = list(zip(cuts_of_rows[:-1].tolist(), cuts_of_rows[1:].tolist(), strict=True))
+
+    def parts() -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per block: its rows, and for each of their features the row, the parameter and the amount."""
+        for first, last in blocks:
+            held = slice(bounds[first], bounds[last])
+            row = np.repeat(np.arange(last - first), np.diff(bounds[first : last + 1]))
+            yield slice(first, last), row, index[held], value[held].astype(float)
+
     seen = np.maximum(np.bincount(grade, minlength=grades), 1)
     weight = np.clip(n / (grades * seen), 1.0, RARE_WEIGHT)[grade]
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, gaps = x[:size], np.exp(x[size + 1 :])
         cuts = x[size] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(rows, value * w[index], minlength=n)
+        score = np.concatenate([np.bincount(r, v * w[i], minlength=b.stop - b.start) for b, r, i, v in parts()])
         upper = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -40, 40)))
         above = np.concatenate([np.ones((n, 1)), upper, np.zeros((n, 1))], axis=1)
         p = np.maximum(above[every, grade] - above[every, grade + 1], 1e-12)
         slope = above * (1 - above)
         low, high = weight * slope[every, grade] / p, weight * slope[every, grade + 1] / p
-        g_w = np.bincount(index, value * (high - low)[rows], minlength=size) + penalty * w
+        g_w = penalty * w
+        for b, r, i, v in parts():
+            g_w += np.bincount(i, v * (high - low)[b][r], minlength=size)
         g_cut = np.array([low[grade == k + 1].sum() - high[grade == k].sum() for k in range(grades - 1)])
         g_gap = np.array([gaps[k] * g_cut[k + 1 :].sum() for k in range(grades - 2)])
         return float(-(weight * np.log(p)).sum() + penalty / 2 * (w @ w)), np.concatenate([g_w, [g_cut.sum()], g_gap])
@@ -167,7 +187,9 @@ def fit(
     x[size] = -1.0
     x = _minimise(loss, x, steps)
     cuts = x[size] + np.concatenate([[0.0], np.cumsum(np.exp(x[size + 1 :]))])
-    return OrdinalModel(x[:size].astype(np.float32), cuts)
+    weights = np.zeros(full_size, np.float32)
+    weights[active] = x[:size]
+    return OrdinalModel(weights, cuts)
 
 
 def grades_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -216,10 +238,11 @@ def train(
     if not rows:
         return OrdinalModel(np.zeros(size, dtype=np.float32), np.full(grades - 1, -40.0))
     rows.sort(key=lambda r: (r.grade, bytes(r.indices)))
-    index = np.concatenate([np.frombuffer(r.indices, np.int32) for r in rows]).astype(np.int64)
+    index = np.concatenate([np.frombuffer(r.indices, np.int32) for r in rows])
     value = np.concatenate([np.frombuffer(r.amounts, np.float32) for r in rows])
-    start = np.cumsum([0] + [len(r.indices) // 4 for r in rows])[:-1]
-    return fit(index, value, start, np.array([r.grade for r in rows]), grades, size)
+    start, grade_of_row = np.cumsum([0] + [len(r.indices) // 4 for r in rows])[:-1], np.array([r.grade for r in rows])
+    del rows
+    return fit(index, value, start, grade_of_row, grades, size)
 
 
 def scored(docs: DataFrame, model: OrdinalModel, text: str = "text", into: str = "quality") -> DataFrame:
