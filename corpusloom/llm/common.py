@@ -140,6 +140,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.unionByName(stars.select(F.col("component_id").alias("id"), "component_id").distinct())
 
 
+_MEMORIES: list[dict] = []
+
+
+def sole_memory(memory: dict | None = None) -> None:
+    """What a Python worker remembers for other operators is dropped, so that it holds one operator's words at a time."""
+    for other in _MEMORIES:
+        if other is not memory:
+            other.clear()
+    if memory is not None and not any(other is memory for other in _MEMORIES):
+        _MEMORIES.append(memory)
+
+
 _SHARED: list[WordHashes] = []
 
 
@@ -155,6 +167,7 @@ class WordHashes(dict):
         """The one of this process, so that what it remembers serves later tasks too."""
         if not _SHARED:
             _SHARED.append(cls())
+        sole_memory(_SHARED[0])
         return _SHARED[0]
 
     def __missing__(self, word: bytes) -> bytes:

@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import written
+from corpusloom.llm.common import sole_memory, written
 
 WINDOW = 1024
 END_ID = 0
@@ -86,6 +86,7 @@ def encoder_of(path: str) -> Encoder:
     """The encoder of this process, so that what it remembers serves later tasks too."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    sole_memory(_ENCODERS[path])
     return _ENCODERS[path]
 
 

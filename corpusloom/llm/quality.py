@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, mix
+from corpusloom.llm.common import WordHashes, mix, sole_memory
 
 BITS = 18
 #: Labelled rows that the fit may read, spread evenly by a hash of the id.
@@ -52,6 +52,7 @@ class Features:
     """Sparse hashed features of a text: (indices, values)."""
 
     def __init__(self, bits: int = BITS):
+        sole_memory()
         self.words, self.shapes, self.shape_of = WordHashes(), WordHashes(), {}
         self.shift, self.size = np.uint64(64 - bits), 1 << bits
 
