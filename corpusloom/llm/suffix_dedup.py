@@ -8,12 +8,12 @@ a string repeats when a neighbour in the array begins with the same bytes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from corpusloom.llm.common import mix, written
 #: Length of the strings that must not repeat, and of the grams that anchor them.
 LENGTH = 200
 GRAM = 64
-#: Anchors with more different segments are counted string by string, over all tasks.
+#: Anchors with more different segments are divided by longer grams.
 #: A segment has a few hundred bytes, so an array has about one million suffixes at most.
 ARRAY_SEGMENTS = 4_096
 
@@ -78,59 +78,100 @@ def anchored(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
 def suffix_array(texts: list[bytes]) -> list[int]:
     """Sorted suffixes of all texts, each as text number * 2^32 + start, by linear grouping.
 
-    A suffix belongs to the group of its longest Lyndon prefix, which ends at the
-    next smaller suffix; the previous smaller suffix is its pointer. Groups hold
-    their suffixes in one stretch of the array each. From the smallest placed
-    suffix on, the one before it and the chain of its pointers are put at the
-    fronts of their groups, so every group is emitted in order and nothing is
-    renamed or sorted again. Equal suffixes of different texts keep the order of
-    the texts.
+    A suffix points to its previous smaller suffix. Groups start as one per
+    letter. From the largest group down, each group is final when it is reached:
+    its suffixes then share their Lyndon prefix. The suffixes that they point to
+    leave their groups for new ones right above, the more of the final group they
+    precede the higher, as their own Lyndon prefixes go on with that many copies
+    of it. Then groups take one stretch of the array each. From the smallest
+    placed suffix on, the one before it and the chain of its pointers are put at
+    the fronts of their groups, so every group is emitted in order and nothing is
+    renamed or sorted. Equal suffixes of different texts keep the order of the
+    texts.
     """
-    groups: dict[bytes, int] = {}
-    sizes: list[int] = []
-    owner: list[list[int]] = []
-    before: list[list[int]] = []
-    for text in texts:
-        n = len(text)
-        tails = [text[i:] for i in range(n)]
-        smaller, pointer, words = [n] * n, [-1] * n, [0] * n
+    # One place before each text stands for no suffix; it counts as placed.
+    name, pointer, ends = [], [], []
+    letters = sorted(set().union(*texts))
+    rank = dict(zip(letters, range(len(letters)), strict=True))
+    members: list[list[int]] = [[] for _ in letters]
+    for k, text in enumerate(texts):
+        base = len(name) + 1
+        name.append(-1)
+        pointer.append(-1)
+        tails = [text[i:] for i in range(len(text))]
         stack: list[int] = []  # suffixes without a next smaller one yet, each smaller than the one above it
-        for i in range(n):
-            tail = tails[i]
+        for i, tail in enumerate(tails):
             while stack and tails[stack[-1]] > tail:
-                smaller[stack.pop()] = i
-            if stack:
-                pointer[i] = stack[-1]
+                stack.pop()
+            pointer.append(base + stack[-1] if stack else -1)
             stack.append(i)
-        for i in range(n):
-            word = words[i] = groups.setdefault(text[i : smaller[i]], len(sizes))
-            if word == len(sizes):
-                sizes.append(0)
-            sizes[word] += 1
-        owner.append(words)
-        before.append(pointer)
-    front, at = [0] * len(sizes), 0
-    for text in sorted(groups):
-        front[groups[text]] = at
-        at += sizes[groups[text]]
-    array = [0] * at
-    placed = [bytearray(len(t)) for t in texts]
-
-    def put(k: int, i: int) -> None:
-        flags, words, pointer = placed[k], owner[k], before[k]
-        while i >= 0 and not flags[i]:
-            flags[i] = 1
-            word = words[i]
-            array[front[word]] = k << 32 | i
-            front[word] += 1
-            i = pointer[i]
-
+            members[rank[text[i]]].append(base + i)
+        name += range(k << 32, (k << 32) + len(text))
+        ends.append(len(name) - 1)
+    group = [0] * len(name)
+    for number, own in enumerate(members):
+        for s in own:
+            group[s] = number
+    size = [len(own) for own in members]
+    below, above = list(range(-1, len(letters) - 1)), [*range(1, len(letters)), -1]
+    final: list[list[int]] = []
+
+    def lift(old: int, moved: list[int]) -> None:
+        if len(moved) == size[old]:
+            return  # the whole group: its place among the others stays
+        new, higher = len(members), above[old]
+        members.append(moved)
+        size.append(len(moved))
+        size[old] -= len(moved)
+        below.append(old)
+        above.append(higher)
+        below[higher] = above[old] = new
+        for s in moved:
+            group[s] = new
+
+    at = len(letters) - 1
+    while at >= 0:
+        own = members[at]
+        if len(own) > size[at]:
+            own = members[at] = [s for s in own if group[s] == at]
+        final.append(own)
+        if len(own) == 1:
+            s = pointer[own[0]]
+            if s >= 0 and size[group[s]] > 1:
+                lift(group[s], [s])
+        else:
+            times = Counter(map(pointer.__getitem__, own))
+            times.pop(-1, None)
+            moves: dict[int, dict[int, list[int]]] = {}
+            for s, n in times.items():
+                if size[group[s]] > 1:
+                    moves.setdefault(n, {}).setdefault(group[s], []).append(s)
+            for n in sorted(moves, reverse=True):
+                for old, moved in moves[n].items():
+                    lift(old, moved)
+        at = below[at]
+    front, total = [0] * len(members), 0
+    for own in reversed(final):
+        front[group[own[0]]] = total
+        total += len(own)
+    order = [0] * total
+    waits = bytearray(b"\1") * len(name)
     for k, text in enumerate(texts):
-        put(k, len(text) - 1)  # the empty suffix comes before all others
-    for place in range(at):
-        k, i = array[place] >> 32, array[place] & 0xFFFFFFFF
-        put(k, i - 1)
-    return array
+        waits[ends[k] - len(text)] = 0
+
+    def put(s: int) -> None:
+        while s >= 0 and waits[s]:
+            waits[s] = 0
+            g = group[s]
+            order[front[g]] = s
+            front[g] += 1
+            s = pointer[s]
+
+    for end in ends:
+        put(end)  # the empty suffix comes before all others
+    for place in range(total):
+        put(order[place] - 1)
+    return [name[s] for s in order]
 
 
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
@@ -233,24 +274,75 @@ def _sorted_groups(length: int) -> Callable:
 _UP = bytes(min(b + 1, 255) for b in range(256))
 
 
-def _strings(length: int) -> Callable:
-    """Every string of the segments of frequent anchors, as a 128-bit hash in two halves."""
+def finer_grams(length: int, gram: int) -> list[int]:
+    """Lengths of the grams that divide a frequent anchor, one after the other: each halves what a string has besides its gram."""
+    out = []
+    while gram < length:
+        gram = length - (length - gram) // 2
+        out.append(gram)
+    return out
+
+
+def _divided(length: int, gram: int) -> Callable:
+    """The segments of frequent anchors, cut into those of the least longer grams of their strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, segment, body in zip(*(batch.column(n).to_pylist() for n in ("anchor", "segment", "body")), strict=True):
-                hashes = [xxhash.xxh3_128_digest(body[i : i + length]) for i in range(len(body) - length + 1)]
-                halves = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                n = len(hashes)
+                anchors, segments, low, high = anchored(np.frombuffer(body, np.uint8), length, gram)
+                n = len(anchors)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)), pa.array(np.arange(n)),
-                     pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                    ["anchor", "segment", "begin", "one", "two"],
+                    [pa.array(np.full(n, anchor)), pa.array(np.full(n, segment)), pa.array(anchors), pa.array(segments), pa.array(low.astype(np.int64)),
+                     pa.array(high.astype(np.int64)), pa.array([body[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())],
+                    ["of_anchor", "of_segment", "anchor", "segment", "low", "high", "body"],
                 )
 
     return run
 
 
+def _repeated_runs(cut: DataFrame, length: int, grams: list[int], array_segments: int) -> DataFrame:
+    """Runs of each segment (anchor, segment, begin, stop) covered by strings that another segment of its anchor, or another place of it, has too.
+
+    ``cut`` holds the different segments of each anchor and their number. An anchor
+    with more than ``array_segments`` is divided by the least longer gram of each
+    string: equal strings have equal ones. Its parts are treated alike; with a gram
+    of the whole length a part has a single segment.
+    """
+    few = F.col("segments") <= array_segments if grams else F.lit(True)
+    runs = (
+        cut.where(few).select("anchor", "segment", "body")
+        .repartition("anchor").sortWithinPartitions("anchor", "segment")
+        .mapInArrow(_sorted_groups(length), "anchor bigint, segment bigint, begin bigint, stop bigint")
+    )
+    many = cut.where(~few)
+    if not grams or many.isEmpty():
+        return runs
+    parts = written(
+        many.select("anchor", "segment", "body").mapInArrow(
+            _divided(length, grams[0]),
+            "of_anchor bigint, of_segment bigint, anchor bigint, segment bigint, low bigint, high bigint, body binary",
+        ),
+        "finer-anchors",
+    )
+    segments = written(
+        parts.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.first("body").alias("body")), "finer-segments"
+    )
+    several = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
+    finer = written(
+        _repeated_runs(segments.join(several, "anchor").select("anchor", "segment", "segments", "body"), length, grams[1:], array_segments),
+        "finer-runs",
+    )
+    places = parts.select("of_anchor", "of_segment", "anchor", "segment", "low", "high")
+    of = [F.col("of_anchor").alias("anchor"), F.col("of_segment").alias("segment")]
+    inside = places.join(finer, ["anchor", "segment"]).select(
+        *of, (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop")
+    )
+    whole = places.join(segments.where("times > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi").select(
+        *of, F.col("low").alias("begin"), F.col("high").alias("stop")
+    )
+    return runs.unionByName(inside).unionByName(whole)
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, hashes = [], [], []
@@ -286,7 +378,7 @@ def suffix_dedup(
     equal repeat as a whole; of the different ones each goes once into the suffix
     array of its anchor. Anchors with more than ``array_segments`` different
     segments (a passage in very many documents) would put one key into one task:
-    their strings are counted by hash instead, with the same result.
+    they are divided by longer grams of their strings until every array is small.
 
     A null text is empty. Texts below ``length`` bytes lose nothing. Rows that
     repeat are equal texts. An empty table gives an empty result. Other columns
@@ -329,23 +421,8 @@ def suffix_dedup(
         .mapInArrow(_cut, "anchor bigint, segment bigint, segments bigint, body binary"),
         "segment-bytes",
     )
-    in_arrays = (
-        cut.where(F.col("segments") <= array_segments).select("anchor", "segment", "body")
-        .repartition("anchor").sortWithinPartitions("anchor", "segment")
-        .mapInArrow(_sorted_groups(length), "anchor bigint, segment bigint, begin bigint, stop bigint")
-    )
-    strings = written(
-        cut.where(F.col("segments") > array_segments).select("anchor", "segment", "body")
-        .mapInArrow(_strings(length), "anchor bigint, segment bigint, begin bigint, one bigint, two bigint"),
-        "strings",
-    )
-    repeated = strings.groupBy("one", "two").count().where("count > 1").select("one", "two")
-    counted = strings.join(repeated, ["one", "two"], "left_semi").select(
-        "anchor", "segment", "begin", (F.col("begin") + length).alias("stop")
-    )
-    partial = written(in_arrays.unionByName(counted), "runs").join(
-        places.select("anchor", "segment", "digest", "low"), ["anchor", "segment"]
-    )
+    runs = written(_repeated_runs(cut, length, finer_grams(length, gram), array_segments), "runs")
+    partial = runs.join(places.select("anchor", "segment", "digest", "low"), ["anchor", "segment"])
     whole = places.join(segments.where("times > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     marks = partial.select("digest", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop"))
     marks = marks.unionByName(whole.select("digest", F.col("low").cast("bigint").alias("begin"), F.col("high").cast("bigint").alias("stop")))

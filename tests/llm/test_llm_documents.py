@@ -201,7 +201,7 @@ def test_suffix_array_and_removal(docs, rows, nothing):
         got = [texts[x >> 32][x & 0xFFFFFFFF :] for x in suffix_dedup.suffix_array(texts)]
         assert got == sorted(t[i:] for t in texts for i in range(len(t)))
     data = [(x[1] or "").encode() for x in rows]
-    for bound in (256, 0):  # 0: every anchor is counted string by string
+    for bound in (256, 0, 2):  # 0, 2: anchors are divided by longer grams, down to whole strings or to small arrays
         length, gram = 60, 20
         seen = Counter(d[k : k + length] for d in data for k in range(len(d) - length + 1))
         result = suffix_dedup.suffix_dedup(docs, length=length, gram=gram, array_segments=bound).collect()
