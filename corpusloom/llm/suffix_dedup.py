@@ -32,13 +32,14 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least ``n``."""
+    """Powers of the base and of its inverse, in this order, modulo 2^64, at least ``n``."""
     if not _POWERS or len(_POWERS[0]) < n:
+        both = []
         for base in (_BASE, _INVERSE):
             steps = np.full(max(n, 1 << 17), base, dtype=np.uint64)
             steps[0] = 1
-            _POWERS.insert(len(_POWERS) if len(_POWERS) < 2 else 0, np.multiply.accumulate(steps))
-        del _POWERS[2:]
+            both.append(np.multiply.accumulate(steps))
+        _POWERS[:] = both
     return _POWERS
 
 
