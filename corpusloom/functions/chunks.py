@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WS, strip
+from corpusloom.functions.tokens import portions
 
 # White space that follows an end mark; looked back for only at white space.
 SENTENCE_GAP = rf"{WS}(?<=[.!?]{WS}){WS}*"
@@ -40,20 +41,23 @@ def _spans(lengths: list[int], max_length: int, overlap: int) -> list[tuple[int,
     return spans
 
 
+# Sentences that become Python objects at a time.
+_PORTION_SENTENCES = 1 << 14
+
 _CHUNKS = "array<struct<text:string,length:int,sentence_count:int>>"
 
 
 def sentence_chunks(text: Column, max_length: int = 512, overlap: int = 50) -> Column:
     """Array of (text, length, sentence_count), sentences kept whole.
 
-    Sentences are split in the JVM; a whole Arrow batch of them is packed at once.
+    Sentences are split in the JVM and packed in portions of an Arrow batch.
     """
 
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("text", pa.string()), ("length", pa.int32()), ("sentence_count", pa.int32())]))
-        for batch in batches:
+        for part in (p for batch in batches for p in portions(batch, _PORTION_SENTENCES)):
             out = []
-            for parts in batch.to_pylist():
+            for parts in part.to_pylist():
                 if parts is None:
                     out.append(None)
                     continue

@@ -15,7 +15,9 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,24 +91,43 @@ def codec(vocabulary: str, special_tokens: bool = False) -> Codec:
     return Codec(encode, lambda batch: tokenizer.decode_batch(batch, skip_special_tokens=True))
 
 
-def _per_text(series: pd.Series, work: Callable[[list], Iterable]) -> pd.Series:
-    """Run ``work`` on the non-null entries and put the results back in place."""
-    present = series.notna()
-    out = pd.Series([None] * len(series), index=series.index, dtype=object)
-    if present.any():
-        out[present] = pd.Series(list(work(series[present].tolist())), index=series.index[present], dtype=object)
-    return out
+#: Bytes of text (or ids) that a worker handles at a time: a batch of 10,000 long texts never becomes Python objects as a whole.
+PORTION = 1 << 20
+
+
+def portions(column: pa.Array, size: int = PORTION) -> Iterator[pa.Array]:
+    """Slices of a column of texts, bytes or lists that hold at most ``size`` bytes or elements, or one row."""
+    lengths = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    ends = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(column):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
+def _present(column: pa.Array) -> tuple[np.ndarray, list]:
+    """Which entries are null, and the values of the others."""
+    return column.is_null().to_numpy(zero_copy_only=False), column.drop_null().to_pylist()
 
 
 def token_ids(text: Column, vocabulary: str | None = None, special_tokens: bool = False) -> Column:
     """``array<int>`` of token ids; null text gives null."""
     vocabulary = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = codec(vocabulary, special_tokens)
         for texts in batches:
-            yield _per_text(texts, tokenizer.encode)
+            for part in portions(texts):
+                missing, values = _present(part)
+                ids = [np.asarray(x, np.int32) for x in tokenizer.encode(values)]
+                lengths = np.zeros(len(part), np.int32)
+                lengths[~missing] = list(map(len, ids))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                flat = pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())
+                yield pa.ListArray.from_arrays(offsets, flat, mask=pa.array(missing))
 
     return encode(text)
 
@@ -115,13 +136,14 @@ def token_count(text: Column, vocabulary: str | None = None, special_tokens: boo
     """Number of tokens. Only the count leaves the worker, not the ids. Null text has 0."""
     vocabulary = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("int")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("int")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = codec(vocabulary, special_tokens)
         for texts in batches:
-            # A missing text is an empty one here.
-            encoded = tokenizer.encode(texts.fillna("").tolist())
-            yield pd.Series([len(ids) for ids in encoded], dtype="int32")
+            for part in portions(texts):
+                # A missing text is an empty one here.
+                encoded = tokenizer.encode(part.fill_null("").to_pylist())
+                yield pa.array([len(ids) for ids in encoded], pa.int32())
 
     return count(text)
 
@@ -129,12 +151,14 @@ def token_count(text: Column, vocabulary: str | None = None, special_tokens: boo
 def decoded_text(ids: Column, vocabulary: str | None = None) -> Column:
     vocabulary = vocabulary or default_vocabulary()
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = codec(vocabulary)
         for encoded in batches:
-            yield _per_text(
-                encoded, lambda batch: tokenizer.decode([[int(i) for i in ids] for ids in batch])
-            )
+            for part in portions(encoded):
+                missing, values = _present(part)
+                texts = np.full(len(part), None, object)
+                texts[~missing] = tokenizer.decode(values)
+                yield pa.array(texts, pa.string())
 
     return decode(ids)

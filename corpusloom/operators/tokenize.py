@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.tokens import decoded_text, token_count, token_ids
+from corpusloom.functions.tokens import decoded_text, portions, token_count, token_ids
 from corpusloom.operators.positions import free_name, with_positions
 from corpusloom.session import through_table
 
@@ -91,13 +94,18 @@ def cut_windows(df: DataFrame, ids: str, max_length: int, padding: bool = False,
     """
     if max_length < 1:
         raise ValueError("max_length must be at least 1")
+    others = [c for c in df.columns if c not in (*_WINDOW_COLUMNS, ids)]
     last = F.greatest(F.ceil(F.size(ids) / F.lit(max_length)).cast("int"), F.lit(1)) - 1
-    cut = df.withColumn("window", F.explode(F.sequence(F.lit(0), last)))
-    cut = cut.withColumn(ids, F.slice(ids, F.col("window") * max_length + 1, max_length))
+    # All windows of a row at once: a row per window beside the whole list would cost the square of a text's length.
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda k: F.struct(k.alias("window"), F.slice(F.col(ids), k * max_length + 1, max_length).alias(ids)),
+    )
+    cut = df.select(*others, F.inline(windows))
     real = F.size(ids)
     length = F.lit(max_length) if padding else real
     return cut.select(
-        *[c for c in df.columns if c not in (*_WINDOW_COLUMNS, ids)],
+        *others,
         "window",
         (_padded(F.col(ids), length, pad_id) if padding else F.col(ids)).alias(ids),
         _mask(real, length).alias("attention_mask"),
@@ -107,9 +115,17 @@ def cut_windows(df: DataFrame, ids: str, max_length: int, padding: bool = False,
 
 def byte_ids(text: Column) -> Column:
     """One id per UTF-8 byte, the byte + 1, so that 0 is free for padding; null has none."""
-    data = F.coalesce(text, F.lit("")).cast("binary")
-    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda k: F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 10).cast("int") + 1)
+
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in portions(batch):
+                ends = np.cumsum(pc.binary_length(part).to_numpy(zero_copy_only=False), dtype=np.int32)
+                data = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                yield pa.ListArray.from_arrays(offsets, pa.array(data.astype(np.int32) + 1))
+
+    return ids(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def truncation_stats(df: DataFrame, max_length: int, counts: str = "token_count", by: Sequence[str] = ()) -> DataFrame:
