@@ -16,8 +16,8 @@ from corpusloom.plans.registry import SQL_WS, long, query, sql_clean, table
 from corpusloom.session import through_table
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", spread=True)
+def _docs(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "documents", spread=True, costly=costly)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +358,7 @@ _END_OF_TEXT = 50256
 def tokenize_fixed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows of 2048 ids with mask and labels, summed up per row; long texts give several."""
     rows = N.token_windows(
-        _docs(spark, sf_dir).select("doc_id", "text"), "text", 2048, padding=True, pad_id=_END_OF_TEXT
+        _docs(spark, sf_dir, costly=True).select("doc_id", "text"), "text", 2048, padding=True, pad_id=_END_OF_TEXT
     )
     labelled = N.causal_labels(rows, _END_OF_TEXT)
     return labelled.select(
@@ -372,7 +372,7 @@ def tokenize_fixed_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tokenize_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = N.tokenize_batches(
-        _docs(spark, sf_dir).select("doc_id", "text"), "text", "doc_id", batch_size=32, pad_id=_END_OF_TEXT
+        _docs(spark, sf_dir, costly=True).select("doc_id", "text"), "text", "doc_id", batch_size=32, pad_id=_END_OF_TEXT
     )
     return rows.select(
         "doc_id", "batch_id", "true_tokens", "token_count", F.size("input_ids").alias("padded_length")
@@ -381,7 +381,7 @@ def tokenize_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed FROM documents")
 def token_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.round_trip_audit(_docs(spark, sf_dir), "text").select("rows", "changed")
+    return N.round_trip_audit(_docs(spark, sf_dir, costly=True), "text").select("rows", "changed")
 
 
 # The same steps over ids that SQL can repeat: the bytes of the whole texts.
@@ -405,7 +405,7 @@ _BYTES = """
 )
 def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed windows with padding, mask and labels; the sums tell which ids stand in a window, and where."""
-    ids = _docs(spark, sf_dir).select("doc_id", N.byte_ids(F.col("text")).alias("input_ids"))
+    ids = _docs(spark, sf_dir, costly=True).select("doc_id", N.byte_ids(F.col("text")).alias("input_ids"))
     rows = N.causal_labels(N.cut_windows(ids, "input_ids", 512, padding=True), pad_id=0)
     at = F.zip_with("input_ids", F.sequence(F.lit(1), F.lit(512)), lambda i, k: (i * k).cast("bigint"))
     return rows.select(
@@ -428,7 +428,7 @@ def byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def byte_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of neighbouring rows, each padded to its own longest."""
-    ids = _docs(spark, sf_dir).select("doc_id", N.byte_ids(F.col("text")).alias("input_ids"))
+    ids = _docs(spark, sf_dir, costly=True).select("doc_id", N.byte_ids(F.col("text")).alias("input_ids"))
     rows = N.batch_rows(through_table(ids, "byte-ids"), "input_ids", "doc_id", batch_size=32)
     return rows.select("doc_id", "batch_id", "true_tokens", "token_count", F.size("input_ids").alias("padded_length"))
 
@@ -485,7 +485,7 @@ def preprocess_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = PreprocessConfig(
         template="alpaca", template_mapping={"instruction": "text", "output": "lang"}, chunk=True
     )
-    rows = preprocess(_docs(spark, sf_dir), "text", "doc_id", config)
+    rows = preprocess(_docs(spark, sf_dir, costly=True), "text", "doc_id", config)
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "token_count")
 
 
