@@ -77,14 +77,10 @@ def _heads(classes: DataFrame, threshold: float) -> DataFrame:
     flat = classes.select("a", F.size("members").alias("n"), F.explode("members").alias("s"))
     rare = F.row_number().over(Window.partitionBy("a").orderBy("df", "s"))
     head = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    counted = flat.join(flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")), "s")
+    shared = flat.join(flat.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s")
     # Shingles of one set alone are rarest but join with nothing: they only shorten the rest of the head.
-    alone = flat.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("a").alias("a")).where("df = 1").groupBy("a").agg(
-        F.count(F.lit(1)).alias("alone")
-    )
-    return counted.where("df > 1").withColumn("place", rare).join(alone, "a", "left").where(
-        F.col("place") + F.coalesce("alone", F.lit(0)) <= head
-    ).select("s", "a", "n")
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("a"))
+    return shared.withColumn("place", rare).withColumn("alone", alone).where(F.col("place") + F.col("alone") <= head).select("s", "a", "n")
 
 
 def similar_pairs(df: DataFrame, text: str, id_col: str, threshold: float, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -164,6 +160,14 @@ def _group_links(threshold: float):
     return run
 
 
+def _classes_of(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The classes with a wanted ``a``, so that the sets of the others are not shuffled.
+
+    The ids are written first: Spark then knows their size and broadcasts them if they are few.
+    """
+    return classes.join(through_table(wanted.distinct(), "wanted"), "a", "left_semi")
+
+
 def linked_groups(buckets: DataFrame, classes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(id, label): connected groups of the classes (a, members) that share a bucket (key, a) and reach the threshold.
 
@@ -174,8 +178,9 @@ def linked_groups(buckets: DataFrame, classes: DataFrame, threshold: float, bloc
     """
     sized = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("first"))
     held = through_table(buckets.join(sized.where("n > 1"), "key"), "buckets")
-    stars = held.where("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b")).distinct()
-    one, two = classes.select("a", F.col("members").alias("of_a")), classes.select(F.col("a").alias("b"), F.col("members").alias("of_b"))
+    stars = through_table(held.where("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b")).distinct(), "star-pairs")
+    one = _classes_of(classes, stars.select("a")).select("a", F.col("members").alias("of_a"))
+    two = _classes_of(classes, stars.select(F.col("b").alias("a"))).select(F.col("a").alias("b"), F.col("members").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     near = common >= F.lit(threshold) * (F.size("of_a") + F.size("of_b") - common) - 1e-9
     star_links = through_table(stars.join(one, "a").join(two, "b").where(near).select("a", "b"), "stars")
@@ -194,15 +199,16 @@ def linked_groups(buckets: DataFrame, classes: DataFrame, threshold: float, bloc
         .where("least < most").groupBy("n", "one", "two").agg(F.min("key").alias("key"))
     )
     apart = through_table(apart.select("key", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "apart")
-    entries = (
+    entries = through_table(
         labelled.join(apart, "key")
         .withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id", "label")
-        .join(classes.select(F.col("a").alias("id"), "members"), "id")
+        .select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id", "label"),
+        "entries",
     )
+    compared = _classes_of(classes, entries.select(F.col("id").alias("a"))).select(F.col("a").alias("id"), "members")
     rest = through_table(
-        entries.select("key", "low", "high", "part", "id", "label", "members")
+        entries.join(compared, "id").select("key", "low", "high", "part", "id", "label", "members")
         .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         .mapInPandas(_group_links(threshold), "a bigint, b bigint"),
         "block-links",
@@ -244,9 +250,24 @@ def near_dedup(
     similar to nothing.
     """
     _check(similarity_threshold)
-    sets = through_table(shingle_sets(df, text, id_col), "shingle-sets")
-    classes = through_table(sets.groupBy("members").agg(F.min("id").alias("a")), "classes")
-    copies = sets.join(classes, "members").where("id <> a").select("a", F.col("id").alias("b"))
+    sets = through_table(
+        shingle_sets(df, text, id_col).select(
+            "*", F.xxhash64("members").alias("one"), F.xxhash64(F.lit(7), "members").alias("two"), F.monotonically_increasing_id().alias("row")
+        ),
+        "shingle-sets",
+    )
+    # Equal sets meet by 128 bits of hash; of a class, the row with its smallest id holds the set.
+    own = F.when(F.col("id").isNotNull(), F.struct("id", "row"))
+    others = through_table(
+        sets.select("id", "row", "one", "two")
+        .join(sets.groupBy("one", "two").agg(F.min(own).alias("first")), ["one", "two"])
+        .where("first IS NULL OR row <> first.row").select("id", "row", F.col("first.id").alias("a")),
+        "other-rows",
+    )
+    classes = through_table(
+        sets.join(others.select("row"), "row", "left_anti").select("members", F.col("id").alias("a")), "classes"
+    )
+    copies = others.where("id <> a").select("a", F.col("id").alias("b"))
     buckets = band_buckets(classes) if hashed else _rare_buckets(classes, similarity_threshold)
     groups = linked_groups(buckets, classes, similarity_threshold)
     # A copy goes with its class, whatever the class is linked to; of a group, the smallest class stays.
