@@ -10,6 +10,7 @@ left is packed greedily.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,9 @@ UNITS = 1_500_000
 
 _UNIT = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 _TAILED = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)")
+#: Letters in every version of Unicode that splitters know.
+_LETTERS = "A-Za-z" + "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PLAIN = re.compile(rf"([ \n]?)([{_LETTERS}]+)")
 #: What a text without runs of white space, and with no white space but blanks and line ends, does not hold.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\x00")
 #: White space that only some of the splitters' rules count as such: such texts are encoded whole.
@@ -50,24 +54,46 @@ class Encoder(dict):
 
     The byte-level splitter never joins characters across the start of a run of
     white space, so a text's ids are those of its words, each with the space
-    before it, in turn; words are remembered.
+    before it, in turn; words are remembered. A new word of plain letters is one
+    piece to the splitter and goes to the model at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        splitter = self.tokenizer.pre_tokenizer
+        self.model = self.letters = None
+        if (
+            isinstance(splitter, ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
+            and self.tokenizer.normalizer is self.tokenizer.truncation is self.tokenizer.padding is None
+            and not any(re.fullmatch(rf"[ \n{_LETTERS}]*", t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        ):
+            self.model = self.tokenizer.model
+            # How the splitter writes the bytes of a blank and of each letter.
+            known = [chr(c) for c in range(0x250) if _PLAIN.fullmatch(chr(c))]
+            self.letters = {ord(c): splitter.pre_tokenize_str(c)[0][0] for c in [" ", *known]}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= UNITS:
             self.clear()
-        parts = _TAILED.fullmatch(unit)  # letters and the marks after them never share an id
-        value = self[unit] = self[parts[1]] + self[parts[2]] if parts else self.whole(unit)
+        plain = _PLAIN.fullmatch(unit) if self.model is not None else None
+        if plain is None:
+            parts = _TAILED.fullmatch(unit)  # letters and the marks after them never share an id
+            value = self[parts[1]] + self[parts[2]] if parts else self.whole(unit)
+        elif plain[1] == "\n":  # a line end is a piece of its own
+            value = self["\n"] + self[plain[2]]
+        else:
+            ids = [token.id for token in self.model.tokenize(unit.translate(self.letters))]
+            value = struct.pack(f"<{len(ids)}I", *ids)
+        self[unit] = value
         return value
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
