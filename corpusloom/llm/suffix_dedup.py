@@ -76,7 +76,7 @@ def anchored(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     return hashes[place].view(np.int64), segment.view(np.int64), low, high
 
 
-def suffix_array(texts: list[bytes]) -> list[int]:
+def suffix_array(texts: list[bytes] | list[str]) -> list[int]:
     """Sorted suffixes of all texts, each as text number * 2^32 + start, by linear grouping.
 
     A suffix points to its previous smaller suffix. Groups start as one per
@@ -175,9 +175,24 @@ def suffix_array(texts: list[bytes]) -> list[int]:
     return [name[s] for s in order]
 
 
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """Starts of the strings of each segment that another place of the segments has too."""
-    array = suffix_array(segments)
+def folded(segments: list[bytes], anchor: int, gram: int) -> list[str]:
+    """The segments of an anchor with their bytes from the anchor on as one letter, above all bytes and in the order of these ends."""
+    place, before = [], None
+    for s in segments:
+        at = s.find(before) if before else -1
+        if at < 0:
+            hashes = gram_hashes(np.frombuffer(s, np.uint8), gram).view(np.int64)
+            at = int(np.flatnonzero(hashes == anchor)[0])  # the leftmost of equals, as in ``anchored``
+            before = s[at : at + gram]
+        place.append(at)
+    ends = [s[at:] for s, at in zip(segments, place, strict=True)]
+    letter = {end: chr(256 + k) for k, end in enumerate(sorted(set(ends)))}
+    return [s[:at].decode("latin-1") + letter[end] for s, at, end in zip(segments, place, ends, strict=True)]
+
+
+def repeated_starts(segments: list[bytes], length: int, anchor: int, gram: int) -> list[np.ndarray]:
+    """Starts of the strings of each segment of an anchor that another place of the segments has too."""
+    array = suffix_array(folded(segments, anchor, gram))
     hit = [np.zeros(len(s), bool) for s in segments]
     last, last_key = None, b""
     for place in array:
@@ -246,15 +261,14 @@ def _found(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _FOUND)
 
 
-def _sorted_groups(length: int) -> Callable:
+def _sorted_groups(length: int, gram: int) -> Callable:
     """Rows sorted by anchor: one suffix array per anchor; repeated runs of each segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, group = None, []
 
         def search() -> list[tuple[int, int, int, int]]:
-            bodies = [b.translate(_UP) for _, b in group]
-            starts = repeated_starts(bodies, length) if len(group) > 1 else [np.empty(0, np.int64)]
+            starts = repeated_starts([b for _, b in group], length, own, gram) if len(group) > 1 else [np.empty(0, np.int64)]
             return [(own, s, a, b) for (s, _), at in zip(group, starts, strict=True) for a, b in _runs(at, length)]
 
         for batch in batches:
@@ -271,10 +285,6 @@ def _sorted_groups(length: int) -> Callable:
     return run
 
 
-#: Text bytes are below 255 in UTF-8; one more leaves 0 free below all of them.
-_UP = bytes(min(b + 1, 255) for b in range(256))
-
-
 def finer_grams(length: int, gram: int) -> list[int]:
     """Lengths of the grams that divide a frequent anchor, one after the other: each halves what a string has besides its gram."""
     out = []
@@ -301,10 +311,10 @@ def _divided(length: int, gram: int) -> Callable:
     return run
 
 
-def _repeated_runs(cut: DataFrame, length: int, grams: list[int], array_segments: int) -> DataFrame:
+def _repeated_runs(cut: DataFrame, length: int, gram: int, grams: list[int], array_segments: int) -> DataFrame:
     """Runs of each segment (anchor, segment, begin, stop) covered by strings that another segment of its anchor, or another place of it, has too.
 
-    ``cut`` holds the different segments of each anchor and their number. An anchor
+    ``cut`` holds the different segments of each anchor, a hash of ``gram`` bytes, and their number. An anchor
     with more than ``array_segments`` is divided by the least longer gram of each
     string: equal strings have equal ones. Its parts are treated alike; with a gram
     of the whole length a part has a single segment.
@@ -313,7 +323,7 @@ def _repeated_runs(cut: DataFrame, length: int, grams: list[int], array_segments
     runs = (
         cut.where(few).select("anchor", "segment", "body")
         .repartition("anchor").sortWithinPartitions("anchor", "segment")
-        .mapInArrow(_sorted_groups(length), "anchor bigint, segment bigint, begin bigint, stop bigint")
+        .mapInArrow(_sorted_groups(length, gram), "anchor bigint, segment bigint, begin bigint, stop bigint")
     )
     many = cut.where(~few)
     if not grams or many.isEmpty():
@@ -330,7 +340,7 @@ def _repeated_runs(cut: DataFrame, length: int, grams: list[int], array_segments
     )
     several = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
     finer = written(
-        _repeated_runs(segments.join(several, "anchor").select("anchor", "segment", "segments", "body"), length, grams[1:], array_segments),
+        _repeated_runs(segments.join(several, "anchor").select("anchor", "segment", "segments", "body"), length, grams[0], grams[1:], array_segments),
         "finer-runs",
     )
     places = parts.select("of_anchor", "of_segment", "anchor", "segment", "low", "high")
@@ -422,7 +432,7 @@ def suffix_dedup(
         .mapInArrow(_cut, "anchor bigint, segment bigint, segments bigint, body binary"),
         "segment-bytes",
     )
-    runs = written(_repeated_runs(cut, length, finer_grams(length, gram), array_segments), "runs")
+    runs = written(_repeated_runs(cut, length, gram, finer_grams(length, gram), array_segments), "runs")
     partial = runs.join(places.select("anchor", "segment", "digest", "low"), ["anchor", "segment"])
     whole = places.join(segments.where("times > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     marks = partial.select("digest", (F.col("low") + F.col("begin")).alias("begin"), (F.col("low") + F.col("stop")).alias("stop"))
