@@ -20,13 +20,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import sole_memory, written
+from corpusloom.llm.common import portions, sole_memory, written
 
 WINDOW = 1024
 END_ID = 0
 #: A sequence of left-over remainders may have this share of padding; else it is cut at powers of two.
 PADDING = 0.02
-UNITS = 1_500_000
+#: Words that a worker remembers: fewer than two thirds of 2^20, where the table of a dict would double.
+UNITS = 600_000
+#: Bytes of text that a task turns into Python strings at a time.
+PORTION = 1 << 20
 
 _UNIT = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 _TAILED = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)")
@@ -129,7 +132,7 @@ def _powers(length: int) -> list[int]:
 def _cutter(file: str, window: int, end_id: int, keep_ids: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(SparkFiles.get(file)), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in portions(batches, "text", PORTION):
             rows: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids_crc32", "doc_tokens", "cut_crcs", "ids")}
             for at, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.encode(text or "") + end
