@@ -35,6 +35,8 @@ _UNIT = re.compile("[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 _TAILED = re.compile(r"([ \n]?[^\W\d_]+)([.,;:!?]+)")
 #: Letters in every version of Unicode that splitters know.
 _LETTERS = "A-Za-z" + "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: All ASCII marks: behind a letter or digit they never share an id with it.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(rf"([ \n]?)([{_LETTERS}]+)")
 #: What a text without runs of white space, and with no white space but blanks and line ends, does not hold.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r", "\x00")
@@ -72,28 +74,44 @@ class Encoder(dict):
         if (
             isinstance(splitter, ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
             and self.tokenizer.normalizer is self.tokenizer.truncation is self.tokenizer.padding is None
-            and not any(re.fullmatch(rf"[ \n{_LETTERS}]*", t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+            and not any(
+                re.fullmatch(rf"[ \n{_LETTERS}0-9]*[{re.escape(_MARKS)}]*", t.content)
+                for t in self.tokenizer.get_added_tokens_decoder().values()
+            )
         ):
             self.model = self.tokenizer.model
             # How the splitter writes the bytes of a blank and of each letter.
             known = [chr(c) for c in range(0x250) if _PLAIN.fullmatch(chr(c))]
+            self.bytes = [struct.pack("<I", n) for n in range(max(self.tokenizer.get_vocab().values(), default=0) + 1)]
             self.letters = {ord(c): splitter.pre_tokenize_str(c)[0][0] for c in [" ", *known]}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= UNITS:
             self.clear()
         plain = _PLAIN.fullmatch(unit) if self.model is not None else None
-        if plain is None:
-            parts = _TAILED.fullmatch(unit)  # letters and the marks after them never share an id
-            value = self[parts[1]] + self[parts[2]] if parts else self.whole(unit)
-        elif plain[1] == "\n":  # a line end is a piece of its own
-            value = self["\n"] + self[plain[2]]
+        if plain is not None:
+            if plain[1] == "\n":  # a line end is a piece of its own
+                value = self["\n"] + self.piece(plain[2].translate(self.letters))
+            elif unit.isascii():  # only the blank is written otherwise
+                value = self.piece(self.letters[0x20] + unit[1:] if plain[1] else unit)
+            else:
+                value = self.piece(unit.translate(self.letters))
         else:
-            ids = [token.id for token in self.model.tokenize(unit.translate(self.letters))]
-            value = struct.pack(f"<{len(ids)}I", *ids)
+            stem = unit.rstrip(_MARKS) if self.model is not None else unit
+            if stem != unit and stem[-1:] < "\u0250" and stem.lstrip(" \n").isalnum():
+                known = stem in self
+                value = self[stem] + self[unit[len(stem) :]]
+                if not known:  # a rare word: what is behind it hardly comes again
+                    return value
+            else:
+                parts = _TAILED.fullmatch(unit)  # letters and the marks after them never share an id
+                value = self[parts[1]] + self[parts[2]] if parts else self.whole(unit)
         self[unit] = value
         return value
 
+    def piece(self, text: str) -> bytes:
+        return b"".join([self.bytes[token.id] for token in self.model.tokenize(text)])
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
