@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,16 +128,24 @@ _DAY_US = 24 * 3600 * 1_000_000
 _LIFE = "run_id string, first_us bigint, last_us bigint, events bigint"
 
 
-def _by_hour(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: States that runs are dealt to: a call of Python works through all runs of one of them.
+BUCKETS = 1024
+
+
+def _by_hour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per run and hour of each batch of rows: its newest time, its range and its number of events."""
-    for rows in frames:
-        hours = rows.assign(hour=rows["ts"].dt.floor("h")).groupby(["run_id", "hour"], sort=False)
-        out = hours.agg(ts=("ts", "max"), first_us=("us", "min"), last_us=("us", "max"), events=("us", "size")).reset_index()
-        yield out[["run_id", "ts", "first_us", "last_us", "events"]]
+    for rows in batches:
+        hours = pa.Table.from_batches([rows]).group_by(["bucket", "run_id", "hour"], use_threads=False)
+        out = hours.aggregate([("ts", "max"), ("us", "min"), ("us", "max"), ("us", "count")])
+        out = out.select(["bucket", "run_id", "ts_max", "us_min", "us_max", "us_count"])
+        yield from out.rename_columns(["bucket", "run_id", "ts", "first_us", "last_us", "events"]).to_batches()
 
 
 def _expire(days: int):
-    """Follows one run: closes a life when the next event, or the watermark, is more than ``days`` past its last event."""
+    """Follows one run: closes a life when the next event, or the watermark, is more than ``days`` past its last event.
+
+    The rule in plain form; :func:`_expire_many` follows it for many runs at once.
+    """
     limit = days * _DAY_US
 
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -166,19 +176,70 @@ def _expire(days: int):
     return follow
 
 
+_LIVES = pa.schema([("run_id", pa.string()), ("first_us", pa.int64()), ("last_us", pa.int64()), ("events", pa.int64())])
+
+
+def _packed(lives: dict) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _LIVES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(pa.table(lives, schema=_LIVES))
+    return sink.getvalue().to_pybytes()
+
+
+def _expire_many(days: int):
+    """Follows the runs of a bucket by the rule of :func:`_expire`; the state holds the lives of all of them as one table."""
+    limit = days * _DAY_US
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pa.ipc.open_stream(state.get[0]).read_all().to_pandas() if state.exists else None
+        tables = [] if state.hasTimedOut else [part[_LIVES.names] for part in parts]
+        n_held = 0 if held is None else len(held)
+        rows = pd.concat([t for t in (held, *tables) if t is not None], ignore_index=True)
+        run, names = pd.factorize(rows["run_id"])
+        first, last, events = (rows[c].to_numpy() for c in ("first_us", "last_us", "events"))
+        order = np.lexsort((first, np.arange(len(rows)) >= n_held, run))  # the life that is held comes first
+        run, first, last, events = (c[order] for c in (run, first, last, events))
+        other = np.concatenate([[True], run[1:] != run[:-1]])
+        newest = pd.Series(last).groupby(run).cummax().to_numpy()
+        anew = other.copy()
+        anew[1:] |= first[1:] - newest[:-1] > limit
+        begins = np.flatnonzero(anew)
+        lives = {
+            "run_id": np.asarray(names, dtype=object)[run[begins]], "first_us": np.minimum.reduceat(first, begins),
+            "last_us": np.maximum.reduceat(last, begins), "events": np.add.reduceat(events, begins),
+        }
+        due = (lives["last_us"] + limit) // 1000 + 1
+        followed = np.append(~other[begins[1:]], False)
+        closed = followed | (due <= state.getCurrentWatermarkMs())
+        if not closed.all():
+            state.update((_packed({n: c[~closed] for n, c in lives.items()}),))
+            state.setTimeoutTimestamp(int(due[~closed].min()))
+        elif state.exists:
+            state.remove()
+        if closed.any():
+            yield pd.DataFrame({n: c[closed] for n, c in lives.items()})
+
+    return follow
+
+
 def expired_runs(log: DataFrame, days: int = RETENTION_DAYS, delay: str = "1 hour") -> DataFrame:
     """Retention on a stream: (run_id, first_ts, last_ts, expired_at, events), once per life of a run.
 
     A run expires as a whole ``days`` after its last event, and lives anew if an
-    event comes later. The state of a run is the range and number of its events,
-    with a timer at its expiry. Events are first reduced to one row per run and
-    hour where they are read, so a busy run sends few rows to its state. An hour
-    whose newest event is more than ``delay`` behind the newest of all is dropped.
+    event comes later. What is kept of a run is the range and number of its events.
+    Runs are dealt to ``BUCKETS`` states, each with a timer at the first expiry of
+    its runs, so that Python is called once per state and micro-batch and not per run.
+    Events are first reduced to one row per run and hour where they are read, so a
+    busy run sends few rows to its state. An hour whose newest event is more than
+    ``delay`` behind the newest of all is dropped.
     """
     rows = log.select(F.col("run_id").cast("string").alias("run_id"), "ts", F.unix_micros("ts").alias("us")).where("ts IS NOT NULL AND run_id IS NOT NULL")
-    hours = rows.mapInPandas(_by_hour, "run_id string, ts timestamp, first_us bigint, last_us bigint, events bigint")
-    lives = hours.withWatermark("ts", delay).groupBy("run_id").applyInPandasWithState(
-        _expire(days), _LIFE, "first_us bigint, last_us bigint, events bigint", "append", GroupStateTimeout.EventTimeTimeout
+    bucket, hour = F.pmod(F.xxhash64("run_id"), F.lit(BUCKETS)).cast("int"), F.col("us") - F.pmod("us", F.lit(3_600_000_000))
+    hours = rows.select(bucket.alias("bucket"), "run_id", hour.alias("hour"), "ts", "us").mapInArrow(
+        _by_hour, "bucket int, run_id string, ts timestamp, first_us bigint, last_us bigint, events bigint"
+    )
+    lives = hours.withWatermark("ts", delay).groupBy("bucket").applyInPandasWithState(
+        _expire_many(days), _LIFE, "lives binary", "append", GroupStateTimeout.EventTimeTimeout
     )
     expired = F.timestamp_micros(F.col("last_us") + days * _DAY_US)
     return lives.select(
